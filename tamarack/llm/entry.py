@@ -3,18 +3,105 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tamarack.llm import knn
-from tamarack.llm.common import table
+from tamarack.llm import distinct, encode, knn, mix, rank, split, truncate
+from tamarack.llm.common import live_texts, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.neighbour_pairs(knn.nearest(knn.usable(table(spark, sf_dir, "vectors"))))
 
 
+def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split.pieces(live_texts(table(spark, sf_dir, "vectors")))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_pieces(spark, sf_dir).where("piece = 0").select("id")
+
+
+def p4_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = rank.request_ranking(table(spark, sf_dir, "query_requests"), table(spark, sf_dir, "query_matches"))
+    return ranked.select("query_id", "id", F.col("rank").cast("long").alias("rank"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p4_ranking(spark, sf_dir).where("rank = 1").select("query_id", "id")
+
+
+def p6_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return distinct.distinctive(live_texts(table(spark, sf_dir, "vectors")))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = distinct.distinctive(live_texts(table(spark, sf_dir, "vectors")), least=4, df_most=5)
+    return marked.where("z > 0").select("id", "term")
+
+
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode.token_ids(table(spark, sf_dir, "documents"))
+
+
+def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    counts = encode.token_ids(documents.select("doc_id", "text", "source"), count=True, carry=["source"])
+    return counts
+
+
+def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix.mixture(_sized(spark, sf_dir), table(spark, sf_dir, "source_targets"))
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix.reached(_sized(spark, sf_dir), table(spark, sf_dir, "source_targets"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncate.truncated(table(spark, sf_dir, "documents")).select("doc_id")
+
+
+def p10_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncate.source_rates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit()}
 
 
+_SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+_LIVE = """
+live AS (SELECT id, metadata FROM vectors WHERE id IS NOT NULL AND seq IS NOT NULL
+         QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1),
+texts AS (SELECT id, metadata::JSON ->> '$.text' AS text FROM live
+          WHERE CASE WHEN json_valid(metadata) THEN json_type(metadata::JSON, '$.text') = 'VARCHAR' ELSE false END)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    ranking = """
+WITH asked AS (SELECT query_id, coalesce(alpha, 0.5) AS alpha FROM query_requests
+               WHERE hybrid AND (alpha IS NULL OR (NOT isnan(alpha) AND alpha BETWEEN 0 AND 1))),
+scored AS (SELECT query_id, id, max(score) FILTER (channel = 'vector') AS v, max(score) FILTER (channel = 'bm25') AS b,
+                  max(score) FILTER (channel = 'rerank') AS r
+           FROM query_matches WHERE score IS NOT NULL AND NOT isnan(score) AND id IS NOT NULL
+             AND channel IN ('vector', 'bm25', 'rerank') GROUP BY query_id, id),
+shares AS (SELECT query_id, id, alpha, (1 - alpha) / 2 AS rest, {shares} FROM scored JOIN asked USING (query_id)),
+mean AS (SELECT *, alpha * pv + rest * pb + rest * pr AS m FROM shares),
+own AS (SELECT query_id, id, list_sort([round(m - 0.5 * alpha * (1 - pv), 9), round(m - 0.5 * rest * (1 - pb), 9),
+                                        round(m - 0.5 * rest * (1 - pr), 9)]) AS lexi FROM mean),
+ranked AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY lexi[1] DESC, lexi[2] DESC, lexi[3] DESC, id) AS rank FROM own)
+SELECT {columns} FROM ranked {where}"""
+    share = "CASE WHEN {c} IS NULL THEN 0.0::DOUBLE ELSE (rank() OVER (PARTITION BY query_id ORDER BY {c} ASC NULLS FIRST) - 1 + (count(*) OVER (PARTITION BY query_id, {c}) - 1) / 2.0::DOUBLE) / greatest(count(*) OVER (PARTITION BY query_id) - 1, 1) END AS p{c}"
+    shares = ", ".join(share.format(c=c) for c in "vbr")
+    return {
+        "p2_found": f"WITH {_LIVE} SELECT id FROM texts WHERE len(list_filter(regexp_split_to_array(text, '{_SPACE}'), lambda w: w <> '')) > 400",
+        "p4_ranking": ranking.format(shares=shares, columns="query_id, id, rank", where=""),
+        "p4_found": ranking.format(shares=shares, columns="query_id, id", where="WHERE rank = 1"),
+        "p6_found": f"""
+WITH {_LIVE},
+terms AS (SELECT id, unnest(regexp_extract_all(strip_accents(lower(text)), '[a-z]+')) AS term FROM texts),
+counts AS (SELECT id, term, count(*) AS tf FROM terms WHERE length(term) > 1 GROUP BY id, term),
+spread AS (SELECT term, count(*) AS df FROM counts GROUP BY term)
+SELECT id, term FROM counts JOIN spread USING (term) WHERE tf >= 4 AND df <= 5""",
+    }
