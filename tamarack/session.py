@@ -47,3 +47,18 @@ def cut_lineage(df: DataFrame, name: str = "step") -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once for each context.
+
+    The archive is made on the driver, whose file server hands it to the executors.
+    """
+    context = spark.sparkContext
+    if any(os.path.basename(p).startswith("tamarack-code") for p in getattr(context, "_python_includes", [])):
+        return
+    import shutil
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    folder = tempfile.mkdtemp()
+    context.addPyFile(shutil.make_archive(os.path.join(folder, "tamarack-code"), "zip", root, "tamarack"))
