@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarack.llm import distinct, encode, knn, mix, rank, split, truncate
+from tamarack.llm import distinct, encode, knn, mix, neardup, rank, split, truncate
 from tamarack.llm.common import live_texts, table
 
 
@@ -30,6 +30,14 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_ranking(spark, sf_dir).where("rank = 1").select("query_id", "id")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.pairs(live_texts(table(spark, sf_dir, "vectors")))
+
+
+def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.groups(live_texts(table(spark, sf_dir, "vectors")))
+
+
 def p6_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distinct.distinctive(live_texts(table(spark, sf_dir, "vectors")))
 
@@ -98,6 +106,14 @@ SELECT {columns} FROM ranked {where}"""
         "p2_found": f"WITH {_LIVE} SELECT id FROM texts WHERE len(list_filter(regexp_split_to_array(text, '{_SPACE}'), lambda w: w <> '')) > 400",
         "p4_ranking": ranking.format(shares=shares, columns="query_id, id, rank", where=""),
         "p4_found": ranking.format(shares=shares, columns="query_id, id", where="WHERE rank = 1"),
+        "p5_found": f"""
+WITH {_LIVE},
+long AS (SELECT id, regexp_extract_all(strip_accents(lower(text)), '[a-z0-9]+') AS t FROM texts
+         WHERE len(list_filter(regexp_split_to_array(text, '{_SPACE}'), lambda w: w <> '')) >= 20),
+runs AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2])) AS run FROM long),
+sizes AS (SELECT id, count(*) AS n FROM runs GROUP BY id),
+shared AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS n FROM runs a JOIN runs b ON a.run = b.run AND a.id < b.id GROUP BY 1, 2)
+SELECT id_a, id_b FROM shared JOIN sizes x ON x.id = id_a JOIN sizes y ON y.id = id_b WHERE shared.n >= 0.5 * (x.n + y.n - shared.n)""",
         "p6_found": f"""
 WITH {_LIVE},
 terms AS (SELECT id, unnest(regexp_extract_all(strip_accents(lower(text)), '[a-z]+')) AS term FROM texts),
