@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarack.llm import distinct, encode, knn, mix, neardup, rank, split, truncate
-from tamarack.llm.common import live_texts, table
+from tamarack.llm import distinct, encode, knn, language, mix, neardup, rank, split, truncate
+from tamarack.llm.common import live_texts, string_field, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +47,22 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.where("z > 0").select("id", "term")
 
 
+def _language_model(vectors: DataFrame) -> language.Model:
+    labelled = vectors.select("id", string_field("metadata", "text").alias("text"), string_field("metadata", "lang").alias("lang"))
+    return language.train(labelled, rows=vectors.count())
+
+
+def p7_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "vectors")
+    return language.identify(live_texts(vectors), _language_model(vectors))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "vectors")
+    texts = live_texts(vectors, string_field("metadata", "lang").alias("label"))
+    return language.relabel(texts, _language_model(vectors)).select("id", "lang")
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.token_ids(table(spark, sf_dir, "documents"))
 
