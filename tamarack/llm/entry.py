@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarack.llm import distinct, encode, knn, language, mix, neardup, rank, split, truncate
+from tamarack.llm import distinct, encode, knn, language, mix, neardup, pii, rank, split, truncate
 from tamarack.llm.common import live_texts, string_field, table
 
 
@@ -21,6 +21,16 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_pieces(spark, sf_dir).where("piece = 0").select("id")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.finder(spark, table(spark, sf_dir, "name_parts"))
+    return pii.mentions(live_texts(table(spark, sf_dir, "vectors")), found).select("id", "kind", "surface").distinct()
+
+
+def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.finder(spark, table(spark, sf_dir, "name_parts"))
+    return pii.redacted(live_texts(table(spark, sf_dir, "vectors")), found)
+
+
 def p4_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked = rank.request_ranking(table(spark, sf_dir, "query_requests"), table(spark, sf_dir, "query_matches"))
     return ranked.select("query_id", "id", F.col("rank").cast("long").alias("rank"))
