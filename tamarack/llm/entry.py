@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tamarack.llm import distinct, encode, knn, language, mix, neardup, pii, rank, split, truncate
 from tamarack.llm.common import live_texts, string_field, table
+from tamarack.session import cut_lineage
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,9 +79,8 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents")
-    counts = encode.token_ids(documents.select("doc_id", "text", "source"), count=True, carry=["source"])
-    return counts
+    counts = encode.token_ids(table(spark, sf_dir, "documents"), count=True, carry=["source"])
+    return cut_lineage(counts, "mix-sizes")  # read twice, encoded once
 
 
 def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
