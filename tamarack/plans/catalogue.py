@@ -111,7 +111,7 @@ def filter_missing(spark, sf_dir):
 
 
 def accent_fold(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.md5(fold(F.col("text"))).alias("folded"))
+    return _table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.md5(F.array_join(F.regexp_extract_all(fold(F.col("text")), F.lit("[a-z0-9]+"), F.lit(0)), " ")).alias("folded"))
 
 
 def tokenize(spark, sf_dir):

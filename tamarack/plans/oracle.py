@@ -90,7 +90,7 @@ SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY q
         "filter_in": f"WITH {_LIVE} SELECT id FROM live WHERE ({_string('dept')}) IN ('it', 'hr')",
         "filter_and": f"WITH {_LIVE} SELECT id FROM live WHERE ({_string('dept')}) = 'it' AND ({_string('lang')}) IN ('fr', 'de')",
         "filter_missing": f"WITH {_LIVE} SELECT id FROM live WHERE CASE WHEN json_valid(metadata) THEN coalesce(json_type(metadata::JSON, '$.lang'), 'NULL') = 'NULL' ELSE false END",
-        "accent_fold": "SELECT doc_id, md5(strip_accents(lower(text))) AS folded FROM documents WHERE text IS NOT NULL",
+        "accent_fold": "SELECT doc_id, md5(array_to_string(regexp_extract_all(strip_accents(lower(text)), '[a-z0-9]+'), ' ')) AS folded FROM documents WHERE text IS NOT NULL",
         "tokenize": f"WITH {_DOCS} SELECT token, count(*) AS n FROM (SELECT unnest(toks) AS token FROM docs) GROUP BY token",
         "term_frequency": f"WITH {_DOCS} SELECT id AS doc_id, token, count(*) AS tf FROM (SELECT id, unnest(toks) AS token FROM docs) GROUP BY id, token",
         "document_frequency": f"WITH {_DOCS} SELECT token, count(DISTINCT id) AS df FROM (SELECT id, unnest(toks) AS token FROM docs) GROUP BY token",
