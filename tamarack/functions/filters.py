@@ -60,7 +60,7 @@ def compile_filter(criteria: dict | None, metadata: str = "metadata", typed: dic
     def equal(key: str, value) -> Column:
         if key in typed:
             c = F.col(typed[key])
-            return c.isNull() if value is None else F.coalesce(c == value, F.lit(False))
+            return c.isNull() if value is None else c == value  # null where the key is missing, so that the scan can take it
         if isinstance(value, (list, dict)):
             return _structural(F.col(metadata), key, value)
         return _scalar(F.col(metadata), key, value)
@@ -69,7 +69,7 @@ def compile_filter(criteria: dict | None, metadata: str = "metadata", typed: dic
     for key, value in (criteria or {}).items():
         if isinstance(value, list):
             if key in typed and value and all(v is not None and not isinstance(v, (list, dict)) for v in value):
-                parts.append(F.coalesce(F.col(typed[key]).isin(value), F.lit(False)))
+                parts.append(F.col(typed[key]).isin(value))
             else:
                 parts.append(functools.reduce(operator.or_, (equal(key, v) for v in value), F.lit(False)))
         else:
