@@ -1,7 +1,7 @@
 """Problem 5: near-duplicate records by a chosen-path join.
 
 A record is the set of its runs of three plain tokens. Records with the same set are one
-class; one of a class is joined. A run of the join gives every path (a sequence of tokens
+class, named by the set's hash; a class stands once in a bucket. A run of the join gives every path (a sequence of tokens
 of the sets) a hash function; a set x follows the tokens whose value is below
 1 / (LAMBDA |x|), so 1 / LAMBDA of them on the average, so similar sets share paths and others rarely do.
 Splitting goes on until the bucket is small: the frequencies of the path's tokens
@@ -181,6 +181,9 @@ def _buckets(sets: DataFrame, runs: int) -> DataFrame:
     def run(batches):
         sketch = shared.value
         for batch in batches:
+            # of copies in a batch one is enough; the others go after the shuffle
+            _, once = np.unique(batch.column("sig").to_numpy(), return_index=True)
+            batch = batch.take(pa.array(np.sort(once)))
             lists = batch.column("s")
             tokens = lists.flatten().to_numpy(zero_copy_only=False)
             sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
@@ -189,6 +192,8 @@ def _buckets(sets: DataFrame, runs: int) -> DataFrame:
             frequency = np.minimum.reduce([sketch[r][_slots(tokens, r).astype(np.int64)] for r in range(SKETCH_ROWS)]).astype(np.int64)
             found = [follow(tokens, sizes, frequency, max(n, 1), r) for r in range(runs)]
             row, path = (np.concatenate(x) for x in zip(*found))
+            _, once = np.unique(path * np.uint64(0x9E3779B97F4A7C15) + row.astype(np.uint64), return_index=True)
+            row, path = row[once], path[once]
             bits = _sketch(tokens, sizes)
             sig = batch.column("sig").to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), pa.array(sig[row]), pa.array(sizes[row].astype(np.int32)), pa.array(bits[row, 0]), pa.array(bits[row, 1])], ["path", "sig", "k", "b0", "b1"])
@@ -202,15 +207,22 @@ def _similarity(a: Column, b: Column) -> Column:
 
 
 def similar_sets(sets: DataFrame, limit: float = LIMIT, runs: int = RUNS) -> DataFrame:
-    """(``sig_a``, ``sig_b``), ``sig_a`` < ``sig_b``: sets with a similarity of ``limit`` or more."""
+    """(``sig_a``, ``sig_b``), ``sig_a`` < ``sig_b``: sets with a similarity of ``limit`` or more.
+
+    ``sets``: ``sig``, ``s``; a set may come several times.
+    """
     buckets = _buckets(sets, runs)
-    # one row a bucket and set: a set may reach a path twice
+    # by path first, so that what drops copies and what joins needs no other shuffle
+    buckets = buckets.repartition("path").dropDuplicates(["path", "sig"])
     left = buckets.select("path", *(F.col(c).alias(f"{c}_a") for c in ("sig", "k", "b0", "b1")))
     right = buckets.select("path", *(F.col(c).alias(f"{c}_b") for c in ("sig", "k", "b0", "b1")))
     differ = F.bit_count(F.col("b0_a").bitwiseXOR(F.col("b0_b"))) + F.bit_count(F.col("b1_a").bitwiseXOR(F.col("b1_b")))
     near = (F.col("sig_a") < F.col("sig_b")) & (F.least("k_a", "k_b") >= limit * F.greatest("k_a", "k_b")) & (differ <= 128 - AGREE)
     pairs = left.join(right, "path").where(near).select("sig_a", "sig_b").distinct()
-    kept = sets.select("sig", "s")
+    pairs = cut_lineage(pairs, "neardup-candidates")
+    wanted = pairs.select(F.col("sig_a").alias("sig")).union(pairs.select("sig_b")).distinct()
+    # equal sets are equal arrays: any of them stands for the class
+    kept = sets.groupBy("sig").agg(F.first("s").alias("s")).join(wanted, "sig", "left_semi")
     pairs = pairs.join(kept.select(F.col("sig").alias("sig_a"), F.col("s").alias("s_a")), "sig_a").join(kept.select(F.col("sig").alias("sig_b"), F.col("s").alias("s_b")), "sig_b")
     return pairs.where(_similarity(F.col("s_a"), F.col("s_b")) >= limit).select("sig_a", "sig_b")
 
@@ -222,9 +234,7 @@ def classes_and_links(texts: DataFrame, limit: float = LIMIT, runs: int = RUNS)
     texts of fewer than 20 words or three plain tokens, are in no class.
     """
     rows = cut_lineage(_sets(texts), "neardup-sets")
-    # equal sets are equal arrays: any of them stands for the class
-    one = rows.groupBy("sig").agg(F.first("s").alias("s"))
-    return rows.select("id", "sig"), similar_sets(one, limit, runs)
+    return rows.select("id", "sig"), similar_sets(rows, limit, runs)
 
 
 def pairs(texts: DataFrame, limit: float = LIMIT, runs: int = RUNS) -> DataFrame:
