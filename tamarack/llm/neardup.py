@@ -26,10 +26,11 @@ from tamarack.session import cut_lineage
 
 LIMIT = 0.5
 LEAST_WORDS, SHINGLE = 20, 3
-RUNS, LAMBDA, DEPTH = 6, 0.6, 6
+RUNS, LAMBDA, DEPTH = 7, 0.7, 8
 SMALL, EXPECTED = 24, 4.0  # a bucket is small if the rarest token is in so few sets, or so many sets are expected
 SKETCH_BITS, SKETCH_ROWS = 20, 2
-AGREE = 84  # of 128 bits: 96 are expected at the limit, 66 for strangers
+TOGETHER = 0.6  # tokens of a text go together: a further one divides a bucket by less than its frequency says
+AGREE = 87  # of 128 bits: 96 are expected at the limit, 66 for strangers
 EXPAND = 64
 SEED = 11
 
@@ -148,7 +149,7 @@ def follow(tokens: np.ndarray, sizes: np.ndarray, frequency: np.ndarray, n: int,
         path = _mixed(path[parent] * np.uint64(31) + value)
         row = row[parent]
         least = np.minimum(least[parent], seen)
-        expected = expected[parent] * np.minimum(seen / n, 1.0)
+        expected = expected[parent] * np.minimum(seen / n, 1.0) ** (1.0 if depth == 0 else TOGETHER)
         done = (least <= SMALL) | (expected < EXPECTED) if depth < DEPTH - 1 else np.ones(len(row), bool)
         rows.append(row[done])
         paths.append(path[done])
