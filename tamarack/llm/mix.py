@@ -40,10 +40,9 @@ def source_rates(sizes: DataFrame, targets: DataFrame, total: float | None = Non
         rows = rows.withColumn("level", F.min("at").over(whole))
     else:
         rows = rows.withColumn("capped", F.coalesce(F.sum("cap").over(order), F.lit(0.0))).withColumn("open", F.sum("share").over(whole) - F.coalesce(F.sum("share").over(order), F.lit(0.0)))
-        # the tokens of the mixture when the level is just at this source's cap
-        there = F.col("capped") + F.col("at") * F.col("open")
-        level = F.min(F.when((F.col("share") > 0) & (there >= total), (F.lit(float(total)) - F.col("capped")) / F.col("open"))).over(whole)
-        rows = rows.withColumn("level", F.coalesce(level, F.max("at").over(whole)))
+        # what a level gives is concave in it, and these lines lie above it: the greatest of their levels is right
+        level = F.max(F.when(F.col("share") > 0, (F.lit(float(total)) - F.col("capped")) / F.col("open"))).over(whole)
+        rows = rows.withColumn("level", level)
     rate = F.when(F.col("share") > 0, F.least(F.col("cap"), F.col("level") * F.col("share")) / F.col("tokens")).otherwise(0.0)
     return rows.select("source", "target_share", "max_repeats", "tokens", rate.alias("rate"))
 
