@@ -26,12 +26,13 @@ from tamarack.session import cut_lineage
 
 LIMIT = 0.5
 LEAST_WORDS, SHINGLE = 20, 3
-RUNS, LAMBDA, DEPTH = 7, 0.7, 8
-SMALL, EXPECTED = 24, 4.0  # a bucket is small if the rarest token is in so few sets, or so many sets are expected
+RUNS, LAMBDA, DEPTH = 6, 0.6, 8
+SMALL, EXPECTED = 24, 20.0  # a bucket is small if the rarest token is in so few sets, or so many sets are expected
 SKETCH_BITS, SKETCH_ROWS = 20, 2
-TOGETHER = 0.6  # tokens of a text go together: a further one divides a bucket by less than its frequency says
+TOGETHER = 0.75  # tokens of a text go together: a further one divides a bucket by less than its frequency says
 AGREE = 87  # of 128 bits: 96 are expected at the limit, 66 for strangers
 EXPAND = 64
+MARK_BITS = 22
 SEED = 11
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -202,6 +203,23 @@ def _buckets(sets: DataFrame, runs: int) -> DataFrame:
     return sets.select("sig", "s").mapInArrow(run, "path long, sig long, k int, b0 long, b1 long")
 
 
+def _marked(sets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose ``sig`` may be wanted: a bitmap of fixed size spares most others the shuffle."""
+    slot = F.pmod(F.xxhash64("sig"), F.lit(1 << MARK_BITS)).cast("int")
+    slots = wanted.select(slot.alias("slot")).distinct().toArrow().column("slot").to_numpy()  # at most 2^MARK_BITS
+    bits = np.zeros(1 << MARK_BITS, np.uint8)
+    bits[slots] = 1
+    shared = sets.sparkSession.sparkContext.broadcast(np.packbits(bits))  # half a megabyte
+
+    def run(batches):
+        marks = np.unpackbits(shared.value).astype(bool)
+        for batch in batches:
+            batch = batch.filter(pa.array(marks[batch.column("slot").to_numpy()]))
+            yield batch.select(["sig", "s"])
+
+    return sets.select("sig", "s", slot.alias("slot")).mapInArrow(run, "sig long, s array<int>")
+
+
 def _similarity(a: Column, b: Column) -> Column:
     shared = F.size(F.array_intersect(a, b))
     return shared / (F.size(a) + F.size(b) - shared)
@@ -223,7 +241,7 @@ def similar_sets(sets: DataFrame, limit: float = LIMIT, runs: int = RUNS) -> Dat
     pairs = cut_lineage(pairs, "neardup-candidates")
     wanted = pairs.select(F.col("sig_a").alias("sig")).union(pairs.select("sig_b")).distinct()
     # equal sets are equal arrays: any of them stands for the class
-    kept = sets.groupBy("sig").agg(F.first("s").alias("s")).join(wanted, "sig", "left_semi")
+    kept = _marked(sets, wanted).groupBy("sig").agg(F.first("s").alias("s")).join(wanted, "sig", "left_semi")
     pairs = pairs.join(kept.select(F.col("sig").alias("sig_a"), F.col("s").alias("s_a")), "sig_a").join(kept.select(F.col("sig").alias("sig_b"), F.col("s").alias("s_b")), "sig_b")
     return pairs.where(_similarity(F.col("s_a"), F.col("s_b")) >= limit).select("sig_a", "sig_b")
 
