@@ -129,6 +129,15 @@ SELECT {columns} FROM ranked {where}"""
     share = "CASE WHEN {c} IS NULL THEN 0.0::DOUBLE ELSE (rank() OVER (PARTITION BY query_id ORDER BY {c} ASC NULLS FIRST) - 1 + (count(*) OVER (PARTITION BY query_id, {c}) - 1) / 2.0::DOUBLE) / greatest(count(*) OVER (PARTITION BY query_id) - 1, 1) END AS p{c}"
     shares = ", ".join(share.format(c=c) for c in "vbr")
     return {
+        "p1_found": """
+WITH live AS (SELECT id, index_name, vector FROM vectors WHERE id IS NOT NULL AND seq IS NOT NULL AND index_name IS NOT NULL
+              QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1),
+good AS (SELECT id, index_name, vector::DOUBLE[] AS v FROM live WHERE len(vector) = 64
+           AND len(list_filter(vector, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND list_inner_product(vector::DOUBLE[], vector::DOUBLE[]) > 0),
+units AS (SELECT id, index_name, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS u FROM good),
+near AS (SELECT a.id AS id, b.id AS other FROM units a JOIN units b ON a.index_name = b.index_name AND a.id <> b.id
+         QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY round(list_inner_product(a.u, b.u), 12) DESC, b.id) <= 5)
+SELECT DISTINCT least(id, other) AS id_a, greatest(id, other) AS id_b FROM near""",
         "p2_found": f"WITH {_LIVE} SELECT id FROM texts WHERE len(list_filter(regexp_split_to_array(text, '{_SPACE}'), lambda w: w <> '')) > 400",
         "p4_ranking": ranking.format(shares=shares, columns="query_id, id, rank", where=""),
         "p4_found": ranking.format(shares=shares, columns="query_id, id", where="WHERE rank = 1"),

@@ -16,38 +16,63 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 SEVERITY = 0.5
+PARTS = 32
+
+
+def _parted(rows: DataFrame, group: list[str], value: str) -> DataFrame:
+    """``rows`` with ``_part``, 0..PARTS: which part of the group's ``value`` range a row is in.
+
+    The edges are approximate quantiles, whose aggregation has a bounded state; a group of any size
+    so becomes windows of a part each.
+    """
+    edges = rows.groupBy(*group).agg(F.percentile_approx(value, [i / PARTS for i in range(1, PARTS)], 1000).alias("_edges"))
+    return rows.join(edges, group).withColumn("_part", F.size(F.filter("_edges", lambda e: e < F.col(value)))).drop("_edges")
+
+
+def _before(rows: DataFrame, group: list[str], count: Column) -> DataFrame:
+    """(``group``, ``_part``, ``_before``): how many are in the parts before; a group has few parts."""
+    sums = rows.groupBy(*group, "_part").agg(F.sum(count).alias("_n"))
+    earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    return sums.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
 
 
 def leximin(scores: DataFrame, weights: dict[str, Column], keys: list[str], item: str = "id", severity: float = SEVERITY) -> DataFrame:
     """(``keys``, ``item``, ``lexi``, ``rank``): rank 1 is the best item of a request.
 
     ``scores``: ``keys``, ``item``, ``channel``, ``score``, and what ``weights`` (a column for
-    each channel, over the same rows and alike within a request) refer to. Null and NaN
-    scores, null items and channels that aren't in ``weights`` are lacking; of repeated rows
+    each channel, over the same rows and alike within a request) refer to. Null keys, null and
+    NaN scores, null items and channels that aren't in ``weights`` are lacking; of repeated rows
     of an item the greatest score counts. Equal vectors: the smaller item first.
+
+    A request may hold any share of the rows: equal scores are counted before they are ordered, and
+    what is ordered is parted by quantiles first.
     """
     names = list(weights)
     good = scores.where(F.col("score").isNotNull() & ~F.isnan("score") & F.col(item).isNotNull() & F.col("channel").isin(names))
-    good = good.select(*keys, item, "channel", "score", *(w.cast("double").alias(f"_w{i}") for i, w in enumerate(weights.values())))
-    # one row an item; partial aggregation takes repeated rows before the shuffle
-    wide = good.groupBy(*keys, item).agg(*(F.max(F.when(F.col("channel") == c, F.col("score"))).alias(f"_s{i}") for i, c in enumerate(names)), *(F.first(f"_w{i}").alias(f"_w{i}") for i in range(len(names))))
-    whole = Window.partitionBy(*keys)
-    wide = wide.withColumn("_all", F.count(F.lit(1)).over(whole))
-    for i in range(len(names)):
-        s = F.col(f"_s{i}")
-        same = Window.partitionBy(*keys, f"_s{i}")
-        # rank with nulls first: items below, lacking ones included
-        below = F.rank().over(Window.partitionBy(*keys).orderBy(s.asc_nulls_first())) - 1
-        ties = F.count(F.lit(1)).over(same) - 1
-        share = F.when(s.isNull(), 0.0).otherwise((below + ties / 2) / F.greatest(F.col("_all") - 1, F.lit(1)))
-        wide = wide.withColumn(f"_p{i}", share)
-    total = sum((F.col(f"_w{i}") for i in range(len(names))), F.lit(0.0))
-    mean = sum((F.col(f"_w{i}") * F.col(f"_p{i}") for i in range(len(names))), F.lit(0.0)) / total
+    columns = [f"_w{i}" for i in range(len(names))]
+    good = good.select(*keys, item, "channel", "score", *(w.cast("double").alias(c) for c, w in zip(columns, weights.values())))
+    # partial aggregation takes repeated rows before the shuffle
+    own = good.groupBy(*keys, item, "channel").agg(F.max("score").alias("score"), *(F.first(c).alias(c) for c in columns))
+    within = [*keys, "channel"]
+    values = _parted(own.groupBy(*within, "score").agg(F.count(F.lit(1)).alias("_same")), within, "score")
+    smaller = Window.partitionBy(*within, "_part").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    values = values.withColumn("_inside", F.coalesce(F.sum("_same").over(smaller), F.lit(0))).join(_before(values, within, F.col("_same")), [*within, "_part"])
+    values = values.select(*within, "score", "_same", (F.col("_inside") + F.col("_before")).alias("_below"))
+    here = own.groupBy(*within).agg(F.count(F.lit(1)).alias("_here"))
+    every = own.select(*keys, item).distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("_all"))
+    shared = own.join(values, [*within, "score"]).join(here, within).join(every, keys)
+    # items that lack the channel are below, too
+    share = (F.col("_all") - F.col("_here") + F.col("_below") + (F.col("_same") - 1) / 2) / F.greatest(F.col("_all") - 1, F.lit(1))
+    wide = shared.withColumn("_share", share).groupBy(*keys, item).agg(*(F.coalesce(F.max(F.when(F.col("channel") == c, F.col("_share"))), F.lit(0.0)).alias(f"_p{i}") for i, c in enumerate(names)), *(F.first(c).alias(c) for c in columns))
+    total = sum((F.col(c) for c in columns), F.lit(0.0))
+    mean = sum((F.col(c) * F.col(f"_p{i}") for i, c in enumerate(columns)), F.lit(0.0)) / total
     # rounded, so that sums in another order don't decide
-    own = F.array_sort(F.array(*(F.round(mean - severity * F.col(f"_w{i}") / total * (1 - F.col(f"_p{i}")), 9) for i in range(len(names)))))
-    wide = wide.withColumn("lexi", own)
-    best = Window.partitionBy(*keys).orderBy(F.col("lexi").desc(), F.col(item))
-    return wide.select(*keys, item, "lexi", F.row_number().over(best).alias("rank"))
+    vector = F.array_sort(F.array(*(F.round(mean - severity * F.col(c) / total * (1 - F.col(f"_p{i}")), 9) for i, c in enumerate(columns))))
+    wide = wide.select(*keys, item, vector.alias("lexi")).withColumn("_first", -F.element_at("lexi", 1))
+    parted = _parted(wide, keys, "_first")
+    best = Window.partitionBy(*keys, "_part").orderBy(F.col("lexi").desc(), F.col(item))
+    ranked = parted.withColumn("_inside", F.row_number().over(best)).join(_before(parted, keys, F.lit(1)), [*keys, "_part"])
+    return ranked.select(*keys, item, "lexi", (F.col("_inside") + F.col("_before")).cast("int").alias("rank"))
 
 
 def request_ranking(requests: DataFrame, matches: DataFrame) -> DataFrame:
