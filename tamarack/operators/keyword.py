@@ -65,7 +65,11 @@ def bm25(docs: DataFrame, query: str, key: str = "id", only: DataFrame | None =
     return bm25_batch(docs, one, key=key, only=only, k1=k1, b=b).drop("query_id")
 
 
-def best(scores: DataFrame, k: int | Column, by: list[str], key: str = "id") -> DataFrame:
-    """The k best of each group with ``rank``; k may be a column."""
+def best(scores: DataFrame, k: int | Column, by: list[str], key: str = "id", most: int | None = None) -> DataFrame:
+    """The k best of each group with ``rank``; k may be a column, ``most`` then its greatest value.
+
+    With a number for k or ``most`` each partition gives out so many rows a group only.
+    """
     order = Window.partitionBy(*by).orderBy(F.desc(F.round("score", 9)), F.asc(key))
-    return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    ranked = scores.withColumn("rank", F.row_number().over(order))
+    return ranked.where(F.col("rank") <= (k if most is None else most)).where(F.col("rank") <= k)

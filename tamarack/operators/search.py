@@ -81,14 +81,14 @@ def knn_batch(rows: DataFrame, queries: DataFrame, k: int = 5, values: str = "va
                     s = np.concatenate([best_s, block], axis=1)
                     kk = np.concatenate([best_k, np.broadcast_to(own, block.shape)], axis=1)
                     if s.shape[1] > k:
-                        # ties at the edge by key: all that equal the k-th best are looked at
-                        edge = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k]
-                        keep_s, keep_k = np.empty((len(q), k)), np.empty((len(q), k), object)
-                        for r in range(len(q)):
-                            near = np.flatnonzero(s[r] >= edge[r] - 1e-12)
-                            order = sorted(near, key=lambda j: (-s[r, j], kk[r, j]))[:k]
-                            keep_s[r], keep_k[r] = s[r, order], kk[r, order]
-                        s, kk = keep_s, keep_k
+                        at = np.argpartition(-s, k - 1, axis=1)[:, :k]
+                        kept = np.take_along_axis(s, at, 1)
+                        edge = kept.min(1, keepdims=True) - 1e-12
+                        # where more than k reach the edge the smaller keys are taken
+                        for r in np.flatnonzero((s >= edge).sum(1) > k):
+                            near = np.flatnonzero(s[r] >= edge[r])
+                            at[r] = sorted(near, key=lambda j: (-round(s[r, j], 12), kk[r, j]))[:k]
+                        s, kk = np.take_along_axis(s, at, 1), np.take_along_axis(kk, at, 1)
                     best_s, best_k = s, kk
             n = best_s.shape[1]
             if n:

@@ -158,7 +158,7 @@ def bm25_requests(spark, sf_dir):
     docs = keyword.documents(live(spark, sf_dir).withColumn("text", _meta("text")), carry=["index_name"])
     asked = _table(spark, sf_dir, "query_requests").where("text is not null and top_k > 0").select("query_id", "index_name", "text", "top_k")
     scores = keyword.bm25_batch(docs, asked, by="index_name").join(asked.select("query_id", "top_k"), "query_id")
-    best = keyword.best(scores, F.col("top_k"), ["query_id"])
+    best = keyword.best(scores, F.col("top_k"), ["query_id"], most=asked.agg(F.max("top_k")).first()[0] or 0)
     return best.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
