@@ -83,7 +83,11 @@ def chunks(text: Column, max_words: int = 400, overlap: int = 40) -> Column:
     if max_words <= 0:
         raise ValueError("max_words must be > 0")
     step = max_words - max(0, min(overlap, max_words - 1))
-    w = words(text)
-    count = F.when(F.size(w) == 0, 0).when(F.size(w) <= max_words, 1).otherwise(1 + F.ceil((F.size(w) - max_words) / step)).cast("int")
-    windows = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.array_join(F.slice(w, i * step + 1, max_words), " "))
-    return F.when(count > 0, windows).otherwise(F.array().cast("array<string>"))
+
+    def windows(w: Column) -> Column:
+        count = F.when(F.size(w) == 0, 0).when(F.size(w) <= max_words, 1).otherwise(1 + F.ceil((F.size(w) - max_words) / step)).cast("int")
+        made = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.array_join(F.slice(w, i * step + 1, max_words), " "))
+        return F.when(count > 0, made).otherwise(F.array().cast("array<string>"))
+
+    # as the only element of an array the words are found once, not again for each window
+    return F.transform(F.array(words(text)), windows).getItem(0)

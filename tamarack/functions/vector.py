@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -26,7 +27,14 @@ def norm(v: Column) -> Column:
 def l2_normalize(v: Column, how: str = "store") -> Column:
     """``store``: v / (norm + eps), as records are kept; ``embed``: v / max(norm, eps), as embedders give them."""
     length = norm(v) + EPS if how == "store" else F.greatest(norm(v), F.lit(EPS))
-    return F.transform(v, lambda x: x.cast("double") / length)
+    # as the only element of an array the length is found once, not again for each element
+    return F.transform(F.array(length), lambda n: F.transform(v, lambda x: x.cast("double") / n)).getItem(0)
+
+
+def unit_literal(values: Sequence[float]) -> Column:
+    """A query vector, normalised as records are."""
+    length = math.sqrt(sum(float(x) * float(x) for x in values)) + EPS
+    return literal([float(x) / length for x in values])
 
 
 def cosine(a: Column, b: Column) -> Column:

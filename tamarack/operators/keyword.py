@@ -17,14 +17,19 @@ def documents(rows: DataFrame, text: str = "text", key: str = "id", carry: list[
     return rows.select(key, *(carry or []), toks.alias("toks")).withColumn("dl", F.size("toks").cast("long"))
 
 
+def _exploded(docs: DataFrame, toks: Column, *columns: str) -> DataFrame:
+    """A row for each term. Not ``explode``: for it the optimizer adds a filter that finds all terms a second time."""
+    return docs.select(*columns, F.explode_outer(toks).alias("token")).where(F.col("token").isNotNull())
+
+
 def postings(docs: DataFrame, key: str = "id", carry: list[str] | None = None) -> DataFrame:
     """(``key``, ``carry``, ``dl``, ``token``, ``tf``); a text's terms are added up before the shuffle."""
-    return docs.select(key, *(carry or []), "dl", F.explode("toks").alias("token")).groupBy(key, *(carry or []), "dl", "token").agg(F.count(F.lit(1)).alias("tf"))
+    return _exploded(docs, F.col("toks"), key, *(carry or []), "dl").groupBy(key, *(carry or []), "dl", "token").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def document_frequency(docs: DataFrame, key: str = "id") -> DataFrame:
     """(``token``, ``df``)."""
-    return docs.select(key, F.explode(F.array_distinct("toks")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    return _exploded(docs, F.array_distinct("toks"), key).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
 
 
 def corpus_stats(docs: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -46,10 +51,11 @@ def bm25_batch(docs: DataFrame, queries: DataFrame, key: str = "id", query_key:
     asks for are dropped before anything is shuffled.
     """
     group = [by] if by else []
-    asked = queries.select(query_key, *group, F.explode(tokens(F.col(text))).alias("token")).groupBy(query_key, *group, "token").agg(F.count(F.lit(1)).alias("qtf"))
+    asked = _exploded(queries, tokens(F.col(text)), query_key, *group).groupBy(query_key, *group, "token").agg(F.count(F.lit(1)).alias("qtf"))
     wanted = asked.select("token", *group).distinct()
-    hits = docs.select(key, *group, "dl", F.explode("toks").alias("token")).join(wanted, ["token", *group], "left_semi").groupBy(key, *group, "dl", "token").agg(F.count(F.lit(1)).alias("tf"))
-    df = hits.groupBy("token", *group).agg(F.count(F.lit(1)).alias("df"))
+    hits = _exploded(docs, F.col("toks"), key, *group, "dl").join(wanted, ["token", *group], "left_semi").groupBy(key, *group, "dl", "token").agg(F.count(F.lit(1)).alias("tf"))
+    # a sum over tf, not a count: so this branch needs the same columns and the shuffle of the hits is used again
+    df = hits.groupBy("token", *group).agg(F.sum((F.col("tf") > 0).cast("long")).alias("df"))
     stats = corpus_stats(docs, group)
     if only is not None:
         hits = hits.join(only.select(key).distinct(), key, "left_semi")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tamarack.functions.vector import dot, l2_normalize, literal
+from tamarack.functions.vector import EPS, dot, l2_normalize, norm, unit_literal
 
 #: Bytes of query vectors that are sent to all executors at once; more queries go in further passes.
 QUERY_BYTES = 32_000_000
@@ -18,7 +18,7 @@ QUERY_BYTES = 32_000_000
 
 def scored(rows: DataFrame, vector: Sequence[float], values: str = "values") -> DataFrame:
     """``rows`` with ``score``, the cosine to ``vector`` in double precision; JVM only."""
-    return rows.withColumn("score", dot(l2_normalize(F.col(values)), l2_normalize(literal(vector))))
+    return rows.withColumn("score", dot(F.col(values), unit_literal(vector)) / (norm(F.col(values)) + EPS))
 
 
 def top(rows: DataFrame, k: int, score: str = "score", key: str = "id") -> DataFrame:
@@ -36,11 +36,6 @@ def knn(rows: DataFrame, vector: Sequence[float], k: int = 5, where: Column | No
     return top(top(ranked, 4 * k, key=key).where(where), k, key=key)
 
 
-def _check(dim: int, vector: Sequence[float]) -> None:
-    if len(vector) != dim:
-        raise ValueError(f"Query vector has dim {len(vector)}, expected {dim}")
-
-
 def _unit(x: np.ndarray) -> np.ndarray:
     x = x.astype(np.float64)
     return x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-9)
@@ -119,7 +114,7 @@ def knn_quantized(rows: DataFrame, vector: Sequence[float], k: int = 5, bits: in
     coded = quantize(rows, bits, values)
     span = F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-12))
     about = F.transform("codes", lambda c: F.col("lo") + c.cast("double") / levels * span)
-    coded = coded.withColumn("rough", F.round(dot(about, l2_normalize(literal(vector))), 9))
+    coded = coded.withColumn("rough", F.round(dot(about, unit_literal(vector)), 9))
     candidates = top(coded, max(4 * k, 50), "rough", key).drop("lo", "hi", "codes", "rough")
     ranked = scored(candidates, vector, values)
     return top(ranked if where is None else ranked.where(where), k, key=key)

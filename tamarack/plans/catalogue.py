@@ -17,12 +17,14 @@ from tamarack.operators.hybrid import hybrid, minmax
 from tamarack.sources import ingest
 from tamarack.sources.embed import embed_column
 from tamarack.sources.extract import extract_column
+from tamarack.session import spread
 
 QUERY_ID, K, TEXT, LANG = 7, 10, "register of maintenance and radiology protocol", "es"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in ("documents", "vectors") else rows
 
 
 def collection(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,7 +117,7 @@ def accent_fold(spark, sf_dir):
 
 
 def tokenize(spark, sf_dir):
-    d = _table(spark, sf_dir, "documents").select("doc_id", F.explode(tokens(F.col("text"))).alias("token"))
+    d = _table(spark, sf_dir, "documents").select("doc_id", F.explode_outer(tokens(F.col("text"))).alias("token")).where("token is not null")
     return d.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 

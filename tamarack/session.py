@@ -49,6 +49,12 @@ def cut_lineage(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """A scan with fewer partitions than there are cores (so a small one) dealt out to all of them."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows._jdf.queryExecution().toRdd().getNumPartitions() < cores else rows
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the Python workers, once for each context.
 
