@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -38,13 +39,29 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + tempfile.mkdtemp(prefix="tamarack-")
 
 
+_FOLDERS: set[str] = set()
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    """At the driver's end; where the context is gone already the folder stays."""
+    try:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # noqa: BLE001
+        pass
+
+
 def cut_lineage(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it again.
 
-    The files outlive lost executors; later plans start from them.
+    The files outlive lost executors; later plans start from them. They go when the driver ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark).rstrip('/')}/tamarack-{spark.sparkContext.applicationId}"
+    if folder not in _FOLDERS:
+        _FOLDERS.add(folder)
+        atexit.register(_remove, spark, folder)
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
