@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tamarack.functions.vector import l2_normalize
+
 BLOCK = 65_536
 TABLES, PROBES, WIDTH, SEED = 4, 24, 1.6, 17
 COARSE_TABLES, COARSE_PROBES, COARSE_WIDTH = 2, 6, 1.6
@@ -101,10 +103,11 @@ def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.arange(total) - np.repeat(first, length) + np.repeat(start, length)
 
 
-def search(data: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, tables: int = TABLES, probes: int = PROBES, width: float = WIDTH, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def search(data: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, tables: int = TABLES, probes: int = PROBES, width: float = WIDTH, seed: int = SEED, whole: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query position, data position, cosine) of the k nearest found, other ids only.
 
-    ``ids`` are in ascending order, so that a smaller position is a smaller id.
+    ``ids`` are in ascending order, so that a smaller position is a smaller id. ``whole``: which
+    queries are compared with all of ``data`` if their candidates are few; all if not given.
     """
     n, dim = data.shape
     small, small_q = data.astype(np.float32), queries.astype(np.float32)
@@ -130,7 +133,8 @@ def search(data: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np
             q = np.repeat(hit // want.shape[1], length[hit])
             pairs.append(q * n + cand)
         pair = np.unique(np.concatenate(pairs))
-        few = np.flatnonzero(np.bincount(pair // n, minlength=m) <= MIN_CANDIDATES * k)
+        few = np.bincount(pair // n, minlength=m) <= MIN_CANDIDATES * k
+        few = np.flatnonzero(few if whole is None else few & whole[lo : lo + m])
         if len(few):  # too few candidates: the whole block, by float32 first
             size = max(1, 20_000_000 // n)
             more = [pair]
@@ -187,8 +191,8 @@ def _search_group(dim: int, k: int):
         group = group.take(pa.compute.sort_indices(group.column("id")))
         x, role = _matrix(group, dim), group.column("role").to_numpy()
         ids = group.column("id").to_numpy(zero_copy_only=False)
-        stored, asked = role != 2, role != 1
-        q, c, cosine = search(x[stored], ids[stored], x[asked], ids[asked], k) if stored.any() and asked.any() else ([], [], [])
+        stored, asked = role < 2, role != 1
+        q, c, cosine = search(x[stored], ids[stored], x[asked], ids[asked], k, whole=role[asked] != 2) if stored.any() and asked.any() else ([], [], [])
         q, c = ids[asked][np.asarray(q, int)], ids[stored][np.asarray(c, int)]
         names = pa.repeat(group.column("index_name")[0], len(q))
         return pa.table({"index_name": names, "id": pa.array(q, pa.string()), "other": pa.array(c, pa.string()), "cosine": pa.array(cosine, pa.float64())})
@@ -197,7 +201,7 @@ def _search_group(dim: int, k: int):
 
 
 def _route(dim: int, block: int):
-    """Rows of large indexes: stored in one cell of each coarse table, asked in the probed ones (role 1, 2)."""
+    """Rows of large indexes: stored in one cell of each coarse table (role 1), asked there (3) and in the probed ones (2)."""
 
     def run(batches):
         for batch in batches:
@@ -209,7 +213,7 @@ def _route(dim: int, block: int):
                 for t in range(COARSE_TABLES):
                     keys = Table(dim, int(k), COARSE_WIDTH, COARSE_PROBES, 1000 + t).probes(x[rows])
                     salt = np.uint64(t + 1)
-                    for role, rr, kk in ((1, rows, keys[:, 0]), (2, np.repeat(rows, keys.shape[1]), keys.ravel())):
+                    for role, rr, kk in ((1, rows, keys[:, 0]), (3, rows, keys[:, 0]), (2, np.repeat(rows, keys.shape[1] - 1), keys[:, 1:].ravel())):
                         m = len(rr)
                         take = pa.array(rr)
                         cell = (kk ^ salt).view(np.int64)
@@ -242,8 +246,7 @@ def nearest(rows: DataFrame, k: int = 5, dim: int = 64, block: int = BLOCK) -> D
         return found
     counts = F.broadcast(rows.groupBy("index_name").count().where(F.col("count") > block).withColumnRenamed("count", "n"))
     hot = rows.join(counts, "index_name")
-    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    hot = hot.withColumn("same", F.xxhash64(F.transform("vector", lambda x: F.round(x / norm, 9))))
+    hot = hot.withColumn("same", F.xxhash64(F.transform(l2_normalize(F.col("vector")), lambda x: F.round(x, 9))))
     # groups of equal vectors with more than k + 1 members; the limit works before the shuffle, too
     rank = Window.partitionBy("index_name", "same").orderBy("id")
     first = hot.select("index_name", "same", "id").withColumn("_n", F.row_number().over(rank)).where(F.col("_n") <= k + 1)
@@ -256,7 +259,7 @@ def nearest(rows: DataFrame, k: int = 5, dim: int = 64, block: int = BLOCK) -> D
     full = routed.where("role = 1").groupBy("index_name", "cell").count().where(F.col("count") > block).select("index_name", "cell", F.ceil(F.col("count") / block).cast("int").alias("m"))
     routed = routed.join(F.broadcast(full), ["index_name", "cell"], "left").withColumn("m", F.coalesce("m", F.lit(1)))
     stored = routed.where("role = 1").withColumn("part", F.pmod(F.xxhash64("id"), F.col("m")).cast("int"))
-    asked = routed.where("role = 2").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    asked = routed.where("role > 1").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
     merged = grouped(stored.unionByName(asked).drop("m")).distinct()
     best = Window.partitionBy("index_name", "id").orderBy(F.round("cosine", 12).desc(), "other")
     merged = merged.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k).drop("_n")
