@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
@@ -120,6 +121,43 @@ def knn_quantized(rows: DataFrame, vector: Sequence[float], k: int = 5, bits: in
     return top(ranked if where is None else ranked.where(where), k, key=key)
 
 
+class Strategy(Protocol):
+    """How a collection is searched: the best rows, and the candidates a blend starts from."""
+
+    def search(self, rows: DataFrame, vector: Sequence[float], k: int, where: Column | None, mode: str) -> DataFrame: ...
+
+    def candidates(self, rows: DataFrame, vector: Sequence[float], k: int) -> DataFrame | None: ...
+
+
+class Exact:
+    """Every row is scored; ``candidates`` of None stands for all rows."""
+
+    def __init__(self, bits: int = 4):
+        pass
+
+    def search(self, rows, vector, k, where, mode):
+        return knn(rows, vector, k, where, mode)
+
+    def candidates(self, rows, vector, k):
+        return None
+
+
+class Quantized:
+    """Rough scores of quantised vectors, the best ranked again."""
+
+    def __init__(self, bits: int = 4):
+        self.bits = bits
+
+    def search(self, rows, vector, k, where, mode):
+        return knn_quantized(rows, vector, k, self.bits, where)
+
+    def candidates(self, rows, vector, k):
+        return knn_quantized(rows, vector, max(4 * k, 50), self.bits)
+
+
+STRATEGIES = {"exact": Exact, "quantized": Quantized}
+
+
 def recall(found: DataFrame, truth: DataFrame, by: list[str], key: str = "id") -> DataFrame:
     """(``by``, ``recall``): the share of the true keys of each query that were found."""
     hit = truth.join(found.select(*by, key, F.lit(1).alias("_hit")).distinct(), [*by, key], "left")

@@ -25,7 +25,7 @@ from tamarack.functions.vector import l2_normalize
 from tamarack.operators import keyword
 from tamarack.operators.hybrid import hybrid as hybrid_search
 from tamarack.operators.merge import last_wins
-from tamarack.operators.search import knn, knn_quantized, quantize, top
+from tamarack.operators.search import STRATEGIES, quantize
 from tamarack.sources.storage import Files
 
 METRICS = ("cosine",)
@@ -248,14 +248,12 @@ class Collection:
             raise ValueError(f"Query vector has dim {len(vector)}, expected {self.dimension}")
         rows = self.records() if rows is None else rows
         where = compile_filter(filter) if filter else None
+        strategy = STRATEGIES[self.backend](self.bit_width)
         if hybrid:
             docs = keyword.documents(rows.withColumn("text", _text()))
-            near = top(knn_quantized(rows, vector, max(4 * top_k, 50), self.bit_width), max(4 * top_k, 50)) if self.backend == "quantized" else None
-            best = hybrid_search(rows, docs, vector, text, top_k, alpha, where, candidates=near)
+            best = hybrid_search(rows, docs, vector, text, top_k, alpha, where, candidates=strategy.candidates(rows, vector, top_k))
             return best.join(rows.select("id", "metadata"), "id").select("id", "score", "metadata").orderBy(F.desc("score"), "id")
-        if self.backend == "quantized":
-            return knn_quantized(rows, vector, top_k, self.bit_width, where).select("id", "score", "metadata")
-        return knn(rows, vector, top_k, where, filter_mode).select("id", "score", "metadata")
+        return strategy.search(rows, vector, top_k, where, filter_mode).select("id", "score", "metadata")
 
     def query(self, vector: Sequence[float], top_k: int = 5, filter: dict | None = None, hybrid: bool = False, alpha: float = 0.5, text: str | None = None, filter_mode: str = "pre") -> list[Match]:
         """The best records, best first."""

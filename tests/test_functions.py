@@ -111,3 +111,11 @@ def test_cosine_of_numpy(spark):
     a, b = rng.standard_normal(16), rng.standard_normal(16)
     got = spark.createDataFrame([(a.tolist(), b.tolist())], "a array<double>, b array<double>").select(vector.cosine(F.col("a"), F.col("b"))).first()[0]
     assert math.isclose(got, a @ b / np.linalg.norm(a) / np.linalg.norm(b), rel_tol=1e-12)
+
+
+def test_functions_in_sql(spark):
+    from tamarack.functions.register import register
+
+    register(spark, 8)
+    r = spark.sql("select search_terms(fold_exact('Le Contrat ÉTÉ de bail')) as t, search_terms(null) as n, size(hash_embed('x')) as d, extract_text(encode(' a ', 'UTF-8'), 'a.txt') as e").first()
+    assert (list(r.t), list(r.n), r.d, r.e) == (["contrat", "ete", "bail"], [], 8, "a")
