@@ -229,6 +229,31 @@ def test_truncated_rows(spark):
     assert truncate.truncated(df.where("false")).count() == 0
 
 
+def test_near_copies_decide_before_the_form(spark):
+    r = random.Random(31)
+
+    def document(n):
+        return "\n\n".join(" ".join(sentence(r, 9)).capitalize() + "." for _ in range(n))
+
+    rows, want = [], set()
+    for i, (middle, end, evidence) in enumerate([
+        ("The board decides under Art.", " 5 of the statute on this. ", "alignment"),  # a stop that ends nothing
+        ("The report is from Dr.", " Keller of the board. ", "alignment"),
+        ("Der Vertrag gilt ab dem 1.", " Juli des Jahres. ", "alignment"),
+        ("1.", " Opening of the meeting\n", "alignment"),
+        ("See the site https://a.example/reg", "ister/maintenance\n", "alignment"),
+        ("The board (of the old", " company) decides.", "alignment"),
+        ("The board decides on this.", " Then the others go home. ", None),  # a complete sentence
+        ("The board decides at the meeting of 2020 on wood and steel", "\n", None),  # a line of its own that form() calls cut
+    ]):
+        head = document(30) + "\n\n" + ("Some more of it. " if i == 7 else "")
+        rows += [(2 * i, head + middle), (2 * i + 1, head + middle + end + "\n" + document(2))]
+        if evidence:
+            want.add((2 * i, evidence))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(x.doc_id, x.evidence) for x in truncate.truncated(df).collect()} == want
+
+
 # languages ------------------------------------------------------------------------------
 
 SENTENCES = {
