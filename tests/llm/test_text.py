@@ -254,6 +254,26 @@ def test_near_copies_decide_before_the_form(spark):
     assert {(x.doc_id, x.evidence) for x in truncate.truncated(df).collect()} == want
 
 
+@pytest.mark.parametrize("width", [1, 8])
+def test_near_copies_among_longer_others(spark, monkeypatch, width):
+    monkeypatch.setattr(truncate, "ROUND", width)
+    r = random.Random(17)
+    base = sentence(r, 600)
+    full = " ".join(base) + ". It goes by Art. 5 of the statute."
+    short = full[: full.index(" 5 of")]
+    rows = [(0, short), (1, full), (2, short), (3, short + " " * 4000)]
+    for i in range(40):  # a similarity of 0.5 to 0.8, and longer
+        other = list(base)
+        for _ in range(20):
+            other[r.randrange(600)] = "xxxxx"
+        rows.append((10 + i, " ".join(other) + f". It goes by Art. 5 of the statute. And so on, number {i}."))
+    block = " ".join(sentence(r, 30)) + ".\n\n"  # repeated: longer in characters, not in distinct runs
+    text = block + " ".join(sentence(r, 300)) + ". It goes by Art."
+    rows += [(100, text), (101, block * 20 + text + " 5 of the statute.")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(x.doc_id, x.evidence) for x in truncate.truncated(df).collect()} == {(i, "alignment") for i in (0, 2, 3, 100)}
+
+
 # languages ------------------------------------------------------------------------------
 
 SENTENCES = {
