@@ -201,6 +201,12 @@ def extract_dispatch(spark, sf_dir):
     return d.select("doc_id", F.md5(extract_column(F.encode("text", "UTF-8"), "filename")).alias("digest"))
 
 
+def extract_all(spark, sf_dir):
+    """Every document through the extractor of its suffix; null where the stored text can't be read as such a file."""
+    d = _table(spark, sf_dir, "documents")
+    return d.select("doc_id", "filename", F.md5(extract_column(F.encode("text", "UTF-8"), "filename")).alias("digest"))
+
+
 def html_extract(spark, sf_dir):
     d = _table(spark, sf_dir, "documents").where("text is not null")
     page = F.concat(F.lit("<html><head><title>"), "filename", F.lit("</title><style>p{color:red}</style></head><body><script>var x = 1</script><p>"), F.col("text"), F.lit("</p></body></html>"))
@@ -221,7 +227,7 @@ def hash_embed(spark, sf_dir):
 
 
 def ingest_pipeline(spark, sf_dir):
-    files = _table(spark, sf_dir, "documents").where("filename like '%.txt' or filename like '%.md'").select(F.concat(F.lit("/in/"), "filename").alias("path"), F.encode("text", "UTF-8").alias("content"))
+    files = _table(spark, sf_dir, "documents").select(F.concat(F.lit("/in/"), "filename").alias("path"), F.encode("text", "UTF-8").alias("content"))
     rows = ingest.records(files, embed_column("hash", dimension=32))
     return rows.select("id", F.size("values").alias("dim"), F.length("metadata").alias("metadata_chars"))
 
@@ -260,6 +266,6 @@ def stat_count(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        l2_normalize_store, knn_exact, knn_batch, knn_prefilter, knn_postfilter, knn_quantized, recall_at_k, filter_eq, filter_in, filter_and, filter_missing, accent_fold, tokenize, term_frequency, document_frequency, corpus_stats, bm25_topk, bm25_dup_terms, bm25_restricted, bm25_requests, minmax_normalize, hybrid_topk, hybrid_filtered, hybrid_alpha_sweep, chunk_windows, extract_dispatch, html_extract, csv_render, hash_embed, ingest_pipeline, upsert_merge, delete_by_ids, delete_by_filter, export_all, stat_count,
+        l2_normalize_store, knn_exact, knn_batch, knn_prefilter, knn_postfilter, knn_quantized, recall_at_k, filter_eq, filter_in, filter_and, filter_missing, accent_fold, tokenize, term_frequency, document_frequency, corpus_stats, bm25_topk, bm25_dup_terms, bm25_restricted, bm25_requests, minmax_normalize, hybrid_topk, hybrid_filtered, hybrid_alpha_sweep, chunk_windows, extract_dispatch, extract_all, html_extract, csv_render, hash_embed, ingest_pipeline, upsert_merge, delete_by_ids, delete_by_filter, export_all, stat_count,
     )
 }
