@@ -42,9 +42,11 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-9)
 
 
-def knn_batch(rows: DataFrame, queries: DataFrame, k: int = 5, values: str = "values", key: str = "id", query_key: str = "query_id", query_values: str = "vector") -> DataFrame:
+def knn_batch(rows: DataFrame, queries: DataFrame, k: int = 5, values: str = "values", key: str = "id", query_key: str = "query_id", query_values: str = "vector", normalize: bool = True) -> DataFrame:
     """(``query_key``, ``key``, ``score``, ``rank``): the k nearest rows of each of many queries.
 
+    Without ``normalize`` the rows are taken as they are; queries are always normalised.
+
     Queries go to the executors in slices of at most QUERY_BYTES; a slice is one pass over
     the rows, matrix products batch by batch. A partition gives out k rows a query only,
     so what is shuffled doesn't depend on the number of rows in it.
@@ -69,7 +71,8 @@ def knn_batch(rows: DataFrame, queries: DataFrame, k: int = 5, values: str = "va
             best_s, best_k = np.empty((len(q), 0)), np.empty((len(q), 0), object)
             for batch in batches:
                 column = batch.column(values)
-                x = _unit(column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))
+                x = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
+                x = _unit(x) if normalize else x
                 keys = np.array(batch.column(key).to_pylist(), object)
                 for lo in range(0, len(x), 8192):
                     block = q @ x[lo : lo + 8192].T
@@ -121,6 +124,19 @@ def knn_quantized(rows: DataFrame, vector: Sequence[float], k: int = 5, bits: in
     return top(ranked if where is None else ranked.where(where), k, key=key)
 
 
+def knn_quantized_batch(rows: DataFrame, queries: DataFrame, k: int = 5, bits: int = 4) -> DataFrame:
+    """``knn_quantized`` of many ``queries`` (``query_id``, ``vector``) over ``rows`` (``id``, ``values``): (``query_id``, ``id``, ``score``, ``rank``)."""
+    coded = quantize(rows.select("id", "values"), bits)
+    span = F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-12))
+    about = F.transform("codes", lambda c: F.col("lo") + c.cast("double") / float(2**bits - 1) * span)
+    near = knn_batch(coded.select("id", about.alias("values")), queries, max(4 * k, 50) if k > 0 else 0, normalize=False).select("query_id", "id")
+    both = near.join(rows.select("id", "values"), "id").join(queries.select("query_id", "vector"), "query_id")
+    cosine = dot(F.col("values"), F.col("vector")) / ((norm(F.col("values")) + EPS) * (norm(F.col("vector")) + EPS))
+    ranked = both.select("query_id", "id", cosine.alias("score"))
+    best = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), F.asc("id"))
+    return ranked.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
 class Strategy(Protocol):
     """How a collection is searched: the best rows, and the candidates a blend starts from."""
 

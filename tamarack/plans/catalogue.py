@@ -90,6 +90,13 @@ def recall_at_k(spark, sf_dir):
     return search.recall(found, truth, ["query_id"]).select("query_id", F.round("recall", 6).alias("recall"))
 
 
+def recall_quantized(spark, sf_dir):
+    """The share of the true nearest, over the whole table, that the quantised search finds."""
+    e = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("values"))
+    q = e.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("values").alias("vector"))
+    return search.recall(search.knn_quantized_batch(e, q, K), search.knn_batch(e, q, K), ["query_id"]).select("query_id", F.round("recall", 6).alias("recall"))
+
+
 # filters --------------------------------------------------------------------------------
 
 
@@ -266,6 +273,6 @@ def stat_count(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        l2_normalize_store, knn_exact, knn_batch, knn_prefilter, knn_postfilter, knn_quantized, recall_at_k, filter_eq, filter_in, filter_and, filter_missing, accent_fold, tokenize, term_frequency, document_frequency, corpus_stats, bm25_topk, bm25_dup_terms, bm25_restricted, bm25_requests, minmax_normalize, hybrid_topk, hybrid_filtered, hybrid_alpha_sweep, chunk_windows, extract_dispatch, extract_all, html_extract, csv_render, hash_embed, ingest_pipeline, upsert_merge, delete_by_ids, delete_by_filter, export_all, stat_count,
+        l2_normalize_store, knn_exact, knn_batch, knn_prefilter, knn_postfilter, knn_quantized, recall_at_k, recall_quantized, filter_eq, filter_in, filter_and, filter_missing, accent_fold, tokenize, term_frequency, document_frequency, corpus_stats, bm25_topk, bm25_dup_terms, bm25_restricted, bm25_requests, minmax_normalize, hybrid_topk, hybrid_filtered, hybrid_alpha_sweep, chunk_windows, extract_dispatch, extract_all, html_extract, csv_render, hash_embed, ingest_pipeline, upsert_merge, delete_by_ids, delete_by_filter, export_all, stat_count,
     )
 }

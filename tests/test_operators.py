@@ -57,6 +57,19 @@ def test_quantised_recall(vectors):
     assert sum(hits) / (10 * len(hits)) >= 0.95
 
 
+@pytest.mark.parametrize("bits", [1, 4])
+def test_quantised_batch_is_the_single_search(vectors, bits):
+    _, rows = vectors
+    queries = rows.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("values").alias("vector"))
+    got = search.knn_quantized_batch(rows, queries, 10, bits).collect()
+    for q in queries.collect():
+        want = [r.id for r in search.knn_quantized(rows, q.vector, 10, bits).collect()]
+        assert [r.id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q.query_id] == want
+    truth = search.knn_batch(rows, queries, 10)
+    shares = [r.recall for r in search.recall(search.knn_quantized_batch(rows, queries, 10, bits), truth, ["query_id"]).collect()]
+    assert len(shares) == 3 and (min(shares) >= 0.9 if bits == 4 else min(shares) < 1)
+
+
 def test_quantised_codes(spark):
     r = search.quantize(spark.createDataFrame([(1, [3.0, 4.0, 0.0])], "id int, values array<double>"), 2).first()
     assert list(r.codes) == [2, 3, 0]
