@@ -360,7 +360,7 @@ class Finder:
 def finder(spark: SparkSession, name_parts: DataFrame) -> Finder:
     """Trained here; the table of name parts is a list of words of a language, not of the data.
 
-    At most ``pii_train.MOST_PARTS`` distinct parts come to the driver.
+    All distinct parts come to the driver, for the lookup; the models learn from at most ``pii_train.MOST_PARTS`` of them.
     """
     from tamarack.llm import pii_train
 

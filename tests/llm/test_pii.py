@@ -98,3 +98,11 @@ def test_random_texts_never_fail(finder):
     texts = ["".join(r.choice(signs) for _ in range(400)) for _ in range(60)]
     for text, spans in zip(texts, finder.find(texts)):
         assert all(0 <= a < b <= len(text) for a, b, _ in spans) and all(x[1] <= y[0] for x, y in zip(spans, spans[1:]))
+
+
+def test_the_lookup_has_the_whole_list(spark, monkeypatch):
+    monkeypatch.setattr(pii_train, "MOST_PARTS", 8)
+    parts = pii_train.read_parts(spark.createDataFrame(list(PARTS), "name_part string, kind string"))
+    names = pii_train.trained(parts, texts=60).names
+    assert names.given == {pii.folded(p) for p in GIVEN} and names.family == {pii.folded(p) for p in FAMILY}
+    assert len(pii_train.sample(list(parts))) == 8 and {k for _, k in pii_train.sample(list(parts))} == {"given", "family"}
