@@ -192,50 +192,68 @@ def test_nothing_to_mix(spark):
 
 # truncation -----------------------------------------------------------------------------
 
-WHOLE = ["A sentence.", "Really?", "He said «yes.»", "(A note.)", "Done 🙂", "Text.\n\n- one\n- the other", "x.\n\n```\ncode()\n```", "Text.\n\nSee you.\n\nAnna Keller\nNovadex SA", "Text.\n\nFait à Valdorf, le 12.03.2020", "See.\n\nhttps://a.example/b", "Text.\n\n-- \n", "", None, "  ", "Fin…\n\nC'est tout.", "a | b\nc | d", "Text.\n\n12 Linden Street, 8000 Valdorf"]
-CUT = ["First. Then the board, ", "x.\n\n```python\nfor hit in", "A sentence. And the one th…", "A sentence. And one [...]", "A. The registra�", "Text one. Text two is for an amount of 29", "One. Two of the ("]
-
-
-@pytest.mark.parametrize("text", WHOLE)
-def test_whole_forms(text):
-    assert truncate.form(text)[0] != "cut"
-
-
-@pytest.mark.parametrize("text", CUT)
-def test_cut_forms(text):
-    assert truncate.form(text)[0] == "cut"
-
-
-def test_a_short_single_line_is_left_to_its_last_word():
-    assert truncate.form("The committee approves the") == ("line", "the")
-
-
-def test_truncated_rows(spark):
-    r = random.Random(9)
-
-    def document(n):
-        return " ".join(" ".join(sentence(r, 9)) + "." for _ in range(n))
-
-    rows = []
-    for i in range(12):
-        rows.append((i, document(20) + "\n\n- das Archiv der Kündigung\n- the board of safety\n\n" + document(1), "a"))
-    full = document(30) + "\n\n- one item\n- the other of steel\n- a third of wood\n\n" + document(1)
-    rows += [(100, full, "b"), (101, full[: full.index("of steel") - 1], "b"), (102, full[: full.rindex(".", 0, len(full) - 2) + 1], "b")]
-    rows += [(103, document(3) + "\n\n- das Archiv der Künd", "b"), (104, document(3) + "\n\n- das Archiv der Kündigung", "b"), (105, None, None), (106, "", "c"), (107, document(3) + " and then the", None)]
-    df = spark.createDataFrame([(*x, 0) for x in rows], "doc_id long, text string, source string, verdict int")
-    assert {(x.doc_id, x.evidence) for x in truncate.truncated(df).collect()} == {(101, "alignment"), (103, "closing word"), (107, "form")}
-    got = {x.source: (x.n_documents, x.n_truncated) for x in truncate.source_rates(df).collect()}
-    assert got == {"a": (12, 0), "b": (5, 2), "c": (1, 0), None: (2, 1)}
-    assert truncate.truncated(df.where("false")).count() == 0
-
-
-def test_near_copies_decide_before_the_form(spark):
+def prose(r, n, words=9):
+    return " ".join(" ".join(sentence(r, 3)).capitalize() + ", " + " ".join(sentence(r, words - 3)) + "." for _ in range(n))
+
+
+def library(n=60, seed=9):
+    """Whole texts of several kinds, so that the counts have something to go by."""
+    r, out = random.Random(seed), []
+    for i in range(n):
+        parts = [prose(r, r.randrange(1, 5)) for _ in range(4)]
+        parts.insert(1, "\n".join(f"- the {r.choice(['board', 'file', 'plan'])} of {w}" for w in ("safety", "archives", "steel")))
+        parts.insert(2, "item | amount | remark\n" + "\n".join(f"the {w} | {r.randrange(9999)} | to be done" for w in ("file", "plan")))
+        parts.insert(3, "```\nfor hit in hits:\n    show(hit)\n```")
+        parts.append(["See you soon.", "Anna Keller\nNovadex SA", "Signed in Valdorf on 12.03.2020", "He said «yes.»", "Done 🙂.", f"https://a.example/b/{i}"][i % 6])
+        out.append("\n\n".join(parts))
+    return out
+
+
+def cuts(spark, texts, **options):
+    rows = [(i, t, 1) for i, t in enumerate(library())] + [(1000 + i, t, 1) for i, t in enumerate(texts)]
+    found = {x.doc_id: x.evidence for x in truncate.truncated(spark.createDataFrame(rows, "doc_id long, text string, seen int"), **options).collect()}
+    assert min(found, default=1000) >= 1000, "the library is whole"
+    return {i - 1000: e for i, e in found.items()}
+
+
+def test_closing_words_tell_cuts_from_ends(spark):
+    r = random.Random(5)
+    whole = [prose(r, 3), "Really? " + prose(r, 2), prose(r, 2) + "\n\n- the board of safety\n- the plan of steel", prose(r, 2) + "\n\nitem | amount | remark\nthe plan | 12 | to be done", prose(r, 1) + "\n\n```\nshow(hit)\n```", prose(r, 1) + "\n\nBea Moser\nNovadex SA", "", None, "  ", "🙂", prose(r, 2) + " 🙂", prose(r, 1) + "\n\nhttps://a.example/b/77"]
+    cut = [prose(r, 3) + " " + " ".join(sentence(r, 12)), prose(r, 2) + " " + " ".join(sentence(r, 14))[:-2], prose(r, 2) + "\n\n- the board of safety\n- the plan of arch", prose(r, 2) + "\n\nitem | amount | remark\nthe plan | 12", prose(r, 1) + "\n\n```\nfor hit in", prose(r, 2) + " " + " ".join(sentence(r, 12)) + "…", prose(r, 2) + " " + " ".join(sentence(r, 12)) + " [...]", prose(r, 2) + " " + " ".join(sentence(r, 12))[:-1] + "�", prose(r, 2) + " " + " ".join(sentence(r, 12)) + ", ", prose(r, 1) + "\n\n" + " ".join(sentence(r, 400))]
+    assert len(cut[-1]) > 800
+    assert cuts(spark, whole + cut) == {len(whole) + i: "closing word" for i in range(len(cut))}
+
+
+def test_a_word_is_known_by_its_beginnings():
+    assert truncate.closing("L'Annexe,") == ("l'annexe", ",") and truncate.closing("jusqu'") == ("jusqu'", "") and truncate.closing("«12.»)") == ("«0", "CC")
+    assert truncate.closing("x" * 100) == ("…", "") and truncate.closing("(") == ("", "(")
+    assert truncate.body("A text [...] \n") == "A text" and truncate.body("x.\n```") == "x.\n```" and truncate.body(None) == ""
+    assert [p for p, _ in truncate.places("the plan | 12", "a | b | c")] == ["row short", "row short"]
+    assert truncate.places("the plan | 12 | x", "a | b | c")[-1] == ("row", ["x"])
+
+
+def test_near_copies_of_which_much_is_lost(spark):
+    r, rows, want = random.Random(31), [], set()
+    for i in range(60):
+        text = "\n\n".join(prose(r, 4) for _ in range(5))
+        lost = 0.1 + 0.6 * i / 59
+        cut = text[: int(len(text) * (1 - lost))].rstrip()
+        words = cut.split(" ")
+        for _ in range(len(words) // 80):  # small edits
+            words[r.randrange(len(words) // 2)] = "edited"
+        cut = " ".join(words)
+        rows += [(2 * i, cut), (2 * i + 1, text)]
+        if not cut.endswith("."):
+            want.add(2 * i)
+    found = {x.doc_id: x.evidence for x in truncate.truncated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not [i for i in found if i % 2]
+    by_copy = {i for i, e in found.items() if e == "alignment"}
+    assert by_copy <= want and len(by_copy) >= 0.9 * len(want)
+
+
+def test_near_copies_decide_before_the_closing_words(spark):
     r = random.Random(31)
-
-    def document(n):
-        return "\n\n".join(" ".join(sentence(r, 9)).capitalize() + "." for _ in range(n))
-
-    rows, want = [], set()
+    texts, want = [], {}
     for i, (middle, end, evidence) in enumerate([
         ("The board decides under Art.", " 5 of the statute on this. ", "alignment"),  # a stop that ends nothing
         ("The report is from Dr.", " Keller of the board. ", "alignment"),
@@ -244,14 +262,13 @@ def test_near_copies_decide_before_the_form(spark):
         ("See the site https://a.example/reg", "ister/maintenance\n", "alignment"),
         ("The board (of the old", " company) decides.", "alignment"),
         ("The board decides on this.", " Then the others go home. ", None),  # a complete sentence
-        ("The board decides at the meeting of 2020 on wood and steel", "\n", None),  # a line of its own that form() calls cut
+        ("The board decides at the meeting of 2020 on wood and steel", "\n", None),  # a line of its own
     ]):
-        head = document(30) + "\n\n" + ("Some more of it. " if i == 7 else "")
-        rows += [(2 * i, head + middle), (2 * i + 1, head + middle + end + "\n" + document(2))]
+        head = "\n\n".join(prose(r, 1) for _ in range(30)) + "\n\n" + ("Some more of it. " if i == 7 else "")
+        texts += [head + middle, head + middle + end + "\n" + prose(r, 2)]
         if evidence:
-            want.add((2 * i, evidence))
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {(x.doc_id, x.evidence) for x in truncate.truncated(df).collect()} == want
+            want[2 * i] = evidence
+    assert cuts(spark, texts) == want
 
 
 @pytest.mark.parametrize("width", [1, 8])
@@ -261,17 +278,41 @@ def test_near_copies_among_longer_others(spark, monkeypatch, width):
     base = sentence(r, 600)
     full = " ".join(base) + ". It goes by Art. 5 of the statute."
     short = full[: full.index(" 5 of")]
-    rows = [(0, short), (1, full), (2, short), (3, short + " " * 4000)]
-    for i in range(40):  # a similarity of 0.5 to 0.8, and longer
-        other = list(base)
-        for _ in range(20):
-            other[r.randrange(600)] = "xxxxx"
-        rows.append((10 + i, " ".join(other) + f". It goes by Art. 5 of the statute. And so on, number {i}."))
-    block = " ".join(sentence(r, 30)) + ".\n\n"  # repeated: longer in characters, not in distinct runs
+    texts = {0: short, 1: full, 2: short, 3: short + " " * 4000}
+    for i in range(40):  # alike in the beginning only, and with the same words around the cut
+        other = base[:300] + sentence(r, 300)
+        texts[10 + i] = " ".join(other) + f". It goes by Art. 5 of the statute. And so on, number {i}."
+    block = " ".join(sentence(r, 30)) + ".\n\n"  # repeated
     text = block + " ".join(sentence(r, 300)) + ". It goes by Art."
-    rows += [(100, text), (101, block * 20 + text + " 5 of the statute.")]
+    texts |= {100: text, 101: text + " 5 of the statute."}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {x.doc_id for x in truncate.truncated(df).collect() if x.evidence == "alignment"} == {0, 2, 3, 100}
+
+
+def test_a_family_of_near_copies_is_not_paired(spark):
+    r = random.Random(3)
+    base = sentence(r, 200)
+    rows = []
+    for i in range(300):  # letters that differ in a name, all whole
+        words = list(base)
+        words[150] = f"name{i}"
+        rows.append((i, " ".join(words) + ". Yours truly."))
+    rows.append((300, " ".join(base[:120])))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {(x.doc_id, x.evidence) for x in truncate.truncated(df).collect()} == {(i, "alignment") for i in (0, 2, 3, 100)}
+    own = truncate.profile(df).where("seen is null").groupBy("digest").agg(truncate.F.min(truncate.F.struct("doc_id", "tail", "bands")).alias("own")).select("own.*")
+    asked, longer = truncate.meetings(df, own)
+    pairs = asked.join(longer, ["band", "tail"]).where("doc_id <> longer").select("doc_id", "longer").distinct()
+    assert {x.doc_id for x in pairs.select("doc_id").distinct().collect()} == {300}
+    assert {(x.doc_id, x.evidence) for x in truncate.truncated(df).collect()} == {(300, "alignment")}
+
+
+def test_truncated_rows_and_sources(spark):
+    r = random.Random(2)
+    rows = [(i, t, "a") for i, t in enumerate(library())] + [(100, prose(r, 3) + " " + " ".join(sentence(r, 12)), "b"), (101, prose(r, 3), "b"), (102, None, None), (103, "", "c"), (104, prose(r, 2) + " " + " ".join(sentence(r, 11)), None), (None, "text", "d")]
+    df = spark.createDataFrame([(*x, 0) for x in rows], "doc_id long, text string, source string, ends int")
+    got = {x.source: (x.n_documents, x.n_truncated) for x in truncate.source_rates(df).collect()}
+    assert got == {"a": (60, 0), "b": (2, 1), "c": (1, 0), "d": (1, 0), None: (2, 1)}
+    assert truncate.truncated(df.where("false")).count() == 0
 
 
 # languages ------------------------------------------------------------------------------
