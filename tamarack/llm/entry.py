@@ -121,9 +121,8 @@ scored AS (SELECT query_id, id, max(score) FILTER (channel = 'vector') AS v, max
            FROM query_matches WHERE score IS NOT NULL AND NOT isnan(score) AND id IS NOT NULL
              AND channel IN ('vector', 'bm25', 'rerank') GROUP BY query_id, id),
 shares AS (SELECT query_id, id, alpha, (1 - alpha) / 2 AS rest, {shares} FROM scored JOIN asked USING (query_id)),
-mean AS (SELECT *, alpha * pv + rest * pb + rest * pr AS m FROM shares),
-own AS (SELECT query_id, id, list_sort([round(m - 0.5 * alpha * (1 - pv), 9), round(m - 0.5 * rest * (1 - pb), 9),
-                                        round(m - 0.5 * rest * (1 - pr), 9)]) AS lexi FROM mean),
+own AS (SELECT query_id, id, list_sort([round(pow(pv, alpha / greatest(alpha, rest)), 9), round(pow(pb, rest / greatest(alpha, rest)), 9),
+                                        round(pow(pr, rest / greatest(alpha, rest)), 9)]) AS lexi FROM shares),
 ranked AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY lexi[1] DESC, lexi[2] DESC, lexi[3] DESC, id) AS rank FROM own)
 SELECT {columns} FROM ranked {where}"""
     share = "CASE WHEN {c} IS NULL THEN 0.0::DOUBLE ELSE (rank() OVER (PARTITION BY query_id ORDER BY {c} ASC NULLS FIRST) - 1 + (count(*) OVER (PARTITION BY query_id, {c}) - 1) / 2.0::DOUBLE) / greatest(count(*) OVER (PARTITION BY query_id) - 1, 1) END AS p{c}"
