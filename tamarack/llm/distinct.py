@@ -5,9 +5,10 @@ Dirichlet prior: a term's prior count is its share of the collection times ``pri
 difference of the two log-odds is divided by its standard error, so the score is a
 z-value. Common terms get little, rare ones used often much.
 
-The counts of the collection come from one pass that adds up terms within each batch
-before anything is shuffled; the terms of a record never leave its row until they are
-joined to the counts.
+The texts are cut into terms once: one pass gives the terms of the records and, added up over many records before
+anything is shuffled, the counts of the collection. A common term would bring the records that hold it to one task, so terms that make up
+more than 1 / COMMON of all entries, of which there are fewer than COMMON, are looked up in a broadcast table; the others meet
+their counts in a shuffle.
 """
 
 from __future__ import annotations
@@ -19,46 +20,48 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamarack.llm.common import plain_tokens
+from tamarack.session import cut_lineage
 
 PRIOR = 500.0
+COMMON = 20_000
+HELD = 400_000  # terms whose counts a task holds before it gives them out
+
+_ROWS = "id string, term string, tf long, n long, df long"
 
 
 def _terms(text: str) -> list[str]:
     return [t for t in plain_tokens(text) if len(t) > 1]
 
 
-def collection_counts(texts: DataFrame) -> DataFrame:
-    """(``term``, ``cf``, ``df``) over all texts: occurrences, records."""
+def term_rows(texts: DataFrame, least: int = 1) -> DataFrame:
+    """One pass: (``id``, ``term``, ``tf``, ``n``) of terms of at least ``least`` occurrences in a record of ``n`` terms, ``df`` null;
+    and counts of the collection (``term``, ``tf``, ``df``: occurrences, records), to be added up, ``n`` null.
+    """
 
     def run(batches):
-        for batch in batches:
-            cf, df = Counter(), Counter()
-            for text in batch.column("text").to_pylist():
-                found = _terms(text or "")
-                cf.update(found)
-                df.update(set(found))
-            terms = list(cf)
-            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([cf[t] for t in terms], pa.int64()), pa.array([df[t] for t in terms], pa.int64())], ["term", "cf", "df"])
+        cf, df = Counter(), Counter()
 
-    return texts.select("text").mapInArrow(run, "term string, cf long, df long").groupBy("term").agg(F.sum("cf").alias("cf"), F.sum("df").alias("df"))
-
-
-def record_terms(texts: DataFrame, least: int = 1) -> DataFrame:
-    """(``id``, ``term``, ``tf``, ``n``): terms of at least ``least`` occurrences; ``n`` is the record's length."""
+        def counts():
+            terms = list(cf)
+            return pa.RecordBatch.from_arrays([pa.nulls(len(terms), pa.string()), pa.array(terms, pa.string()), pa.array([cf[t] for t in terms], pa.int64()), pa.nulls(len(terms), pa.int64()), pa.array([df[t] for t in terms], pa.int64())], ["id", "term", "tf", "n", "df"])
 
-    def run(batches):
         for batch in batches:
             ids, terms, tfs, ns = [], [], [], []
             for i, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
                 found = _terms(text or "")
-                if len(found) < least:
-                    continue
-                for t, tf in Counter(found).items():
+                own = Counter(found)
+                cf.update(own)
+                df.update(own.keys())
+                for t, tf in own.items():
                     if tf >= least:
                         ids.append(i), terms.append(t), tfs.append(tf), ns.append(len(found))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(terms, pa.string()), pa.array(tfs, pa.int64()), pa.array(ns, pa.int64())], ["id", "term", "tf", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(terms, pa.string()), pa.array(tfs, pa.int64()), pa.array(ns, pa.int64()), pa.nulls(len(ids), pa.int64())], ["id", "term", "tf", "n", "df"])
+            if len(cf) > HELD:
+                yield counts()
+                cf.clear(), df.clear()
+        yield counts()
 
-    return texts.select(F.col("id").cast("string").alias("id"), "text").mapInArrow(run, "id string, term string, tf long, n long")
+    return texts.select(F.col("id").cast("string").alias("id"), "text").mapInArrow(run, _ROWS)
 
 
 def distinctive(texts: DataFrame, least: int = 1, prior: float = PRIOR, df_most: int | None = None) -> DataFrame:
@@ -69,12 +72,18 @@ def distinctive(texts: DataFrame, least: int = 1, prior: float = PRIOR, df_most:
     more records; the statistics are those of the whole collection all the same. A
     collection of one record has no rest: its scores are those against the prior alone.
     """
-    counts = collection_counts(texts)
-    total = counts.agg(F.sum("cf").alias("total"))
+    found = cut_lineage(term_rows(texts, least), "distinct-terms")
+    rows = found.where("n is not null").select("id", "term", "tf", "n")
+    counts = found.where("n is null").groupBy("term").agg(F.sum("tf").alias("cf"), F.sum("df").alias("df"))
+    every = F.broadcast(found.where("n is null").agg(F.sum("tf").alias("total"), F.sum("df").alias("entries")))  # one row
     if df_most is not None:
         counts = counts.where(F.col("df") <= df_most)
-    rows = record_terms(texts, least).join(counts, "term").join(F.broadcast(total), how="cross")  # total: one row
+    counts = cut_lineage(counts.join(every, how="cross"), "distinct-counts")
+    common = F.col("df") > F.col("entries") / COMMON  # holds for fewer than COMMON terms, as ``entries`` is the sum of ``df``
+    frequent = F.broadcast(counts.where(common).drop("entries"))
+    rest = rows.join(frequent.select("term"), "term", "left_anti").join(counts.where(~common).drop("entries"), "term")
+    rows = rows.join(frequent, "term").unionByName(rest)
     a = F.col("cf") * prior / F.col("total")
-    inside, rest = F.col("tf") + a, F.col("cf") - F.col("tf") + a
-    odds = F.log(inside / (F.col("n") + prior - inside)) - F.log(rest / (F.col("total") - F.col("n") + prior - rest))
-    return rows.select("id", "term", "tf", "df", (odds / F.sqrt(1 / inside + 1 / rest)).alias("z"))
+    inside, others = F.col("tf") + a, F.col("cf") - F.col("tf") + a
+    odds = F.log(inside / (F.col("n") + prior - inside)) - F.log(others / (F.col("total") - F.col("n") + prior - others))
+    return rows.select("id", "term", "tf", "df", (odds / F.sqrt(1 / inside + 1 / others)).alias("z"))
