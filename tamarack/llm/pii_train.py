@@ -25,28 +25,27 @@ MOST_PARTS, TEXTS, SEED = 20_000, 4200, 3
 FRAMES = {
     "fr": [
         "Merci de joindre {name} au {phone} avant midi.", "Le courrier de {titled} est resté chez {company}.", "Adresse de livraison : {address}.", "{titled} habite {address} depuis mars.", "Écrivez à {email} ou appelez le {phone}.", "L'assuré {name}, numéro {identity}, a répondu.", "La commande {order} du {date} porte la référence {order}.", "La maison {company} a livré {order} pièces dans la {street}.",
-        "Le dossier {badid} concerne {company}.", "{name}\n{phone}\n{email}", "{name} | {identity} | {phone} | {email}", "Le montant de {amount} sera versé le {date}.", "D'après {titled}, tout est prêt.", "Contact : {titled}, {address}, {phone}", "Le comité se réunit à {town} sans {given}.", "Le logiciel {version} est livré par {company}.", "Réponse de {name} <{email}> reçue.", "Le canal {handle} suit {company}.", "Envoyer à l'adresse suivante : {address}", "Le responsable du service vérifie le plan dans les locaux de {company}.", "La patiente portant le {identity} rappelle le {phone}.",
+        "Le dossier {badid} concerne {company}.", "{name}\n{phone}\n{email}", "{name} | {identity} | {phone} | {email}", "Le montant de {amount} sera versé le {date}.", "D'après {titled}, tout est prêt.", "Contact : {titled}, {address}, {phone}", "Le comité se réunit à {town} sans {given}.", "Le logiciel {version} est livré par {company}.", "Réponse de {name} <{email}> reçue.", "Le canal {handle} suit {company}.", "Envoyer à l'adresse suivante : {address}", "Les peintres passent lundi chez {company}.", "La patiente portant le {identity} rappelle le {phone}.", "Sur la feuille il y a {identity}, puis {badid}.", "{identity}",
     ],
     "de": [
-        "Bitte rufen Sie {titled} unter {phone} an.", "Die Post geht an {address}.", "Gemäss {name} ist die Akte vollständig.", "Die Nummer {identity} gehört zu {titled}.", "Schreiben Sie an {email}.", "Der Auftrag {order} vom {date} kommt von der {company}.", "Die Lieferung {badid} steht in der {street}.", "{name}; {identity}; {address}", "{titled}\n{address}\n{phone}", "Der Betrag von {amount} ist am {date} fällig.", "Die Firma {company} prüft den Artikel {badid}.", "Die Leitung der Abteilung genehmigt den Plan bei der {company}.", "Wohnsitz {address} seit Jahren.", "Weiter an {name} <{email}> gesandt.", "Im Kanal {handle} steht die Version {version}.", "Nach Auskunft von {titled} ist {given} nicht in {town}.", "Rückruf auf {phone} erbeten, Ausweis {identity}.", "Im Auftrag von {name} wird bezahlt.",
+        "Bitte rufen Sie {titled} unter {phone} an.", "Die Post geht an {address}.", "Gemäss {name} ist die Akte vollständig.", "Die Nummer {identity} gehört zu {titled}.", "Schreiben Sie an {email}.", "Der Auftrag {order} vom {date} kommt von der {company}.", "Die Lieferung {badid} steht in der {street}.", "{name}; {identity}; {address}", "{titled}\n{address}\n{phone}", "Der Betrag von {amount} ist am {date} fällig.", "Die Firma {company} prüft den Artikel {badid}.", "Die Maler kommen am Montag zur {company}.", "Wohnsitz {address} seit Jahren.", "Weiter an {name} <{email}> gesandt.", "Im Kanal {handle} steht die Version {version}.", "Nach Auskunft von {titled} ist {given} nicht in {town}.", "Rückruf auf {phone} erbeten, Ausweis {identity}.", "Im Auftrag von {name} wird bezahlt.", "Unten steht {identity}, daneben {badid}.", "{badid}, {identity}",
     ],
     "en": [
-        "Please ring {titled} on {phone} or write to {email}.", "Parcels go to {address} only.", "According to {name}, the file is complete.", "Number {identity} belongs to {titled}.", "Order {order} of {date} came from {company}.", "The firm {company} keeps item {badid} in {street}.", "{name}, {address}, {phone}", "{titled} | {phone} | {email}", "The sum of {amount} is due on {date}.", "The board of safety approves the plan at {company}.", "The tenant of {address} has left.", "Sent on by {name} <{email}> today.", "Channel {handle} mentions version {version}.", "Nobody saw {given} in {town}.", "Card {identity} was issued to {name}.", "On behalf of {name} the register is closed.", "A talk with {titled} took place.",
+        "Please ring {titled} on {phone} or write to {email}.", "Parcels go to {address} only.", "According to {name}, the file is complete.", "Number {identity} belongs to {titled}.", "Order {order} of {date} came from {company}.", "The firm {company} keeps item {badid} in {street}.", "{name}, {address}, {phone}", "{titled} | {phone} | {email}", "The sum of {amount} is due on {date}.", "Painters come to {company} on Monday.", "The tenant of {address} has left.", "Sent on by {name} <{email}> today.", "Channel {handle} mentions version {version}.", "Nobody saw {given} in {town}.", "Card {identity} was issued to {name}.", "On behalf of {name} the register is closed.", "A talk with {titled} took place.", "The sheet shows {identity} and {badid}.", "{identity} {date}",
     ],
     "it": [
-        "Chiamare {titled} al {phone} prima di sera.", "La posta va a {address}.", "Secondo {name} il fascicolo è completo.", "Il numero {identity} è di {titled}.", "Scrivere a {email}.", "L'ordine {order} del {date} viene da {company}.", "La ditta {company} espone l'articolo {badid} nella {street}.", "{name}\n{address}\n{email}", "{titled}; {identity}; {phone}", "L'importo di {amount} scade il {date}.", "Il responsabile approva il piano presso la {company}.", "Residente in {address} da anni.", "Inoltrato da {name} <{email}> ieri.", "Nel canale {handle} si cita la versione {version}.", "Il colloquio con {titled} è finito.", "Nessuno ha visto {given} a {town}.",
+        "Chiamare {titled} al {phone} prima di sera.", "La posta va a {address}.", "Secondo {name} il fascicolo è completo.", "Il numero {identity} è di {titled}.", "Scrivere a {email}.", "L'ordine {order} del {date} viene da {company}.", "La ditta {company} espone l'articolo {badid} nella {street}.", "{name}\n{address}\n{email}", "{titled}; {identity}; {phone}", "L'importo di {amount} scade il {date}.", "Gli imbianchini vanno lunedì dalla {company}.", "Residente in {address} da anni.", "Inoltrato da {name} <{email}> ieri.", "Nel canale {handle} si cita la versione {version}.", "Il colloquio con {titled} è finito.", "Nessuno ha visto {given} a {town}.", "Sul foglio c'è {identity} e poi {badid}.", "{identity}.",
     ],
     "es": [
-        "Llame a {titled} al {phone} hoy.", "El correo va a {address}.", "Según {name} el expediente está completo.", "El número {identity} es de {titled}.", "Escriba a {email}.", "El pedido {order} del {date} viene de {company}.", "La empresa {company} expone el artículo {badid} en la {street}.", "{name}\n{phone}\n{address}", "{titled} | {identity} | {phone} | {email}", "El importe de {amount} vence el {date}.", "El equipo aprueba el plan en {company}.", "Con domicilio en {address} desde hace años.", "Reenviado por {name} <{email}> ayer.", "En el canal {handle} figura la versión {version}.", "Tras la charla con {titled} se cerró.", "Nadie vio a {given} en {town}.",
+        "Llame a {titled} al {phone} hoy.", "El correo va a {address}.", "Según {name} el expediente está completo.", "El número {identity} es de {titled}.", "Escriba a {email}.", "El pedido {order} del {date} viene de {company}.", "La empresa {company} expone el artículo {badid} en la {street}.", "{name}\n{phone}\n{address}", "{titled} | {identity} | {phone} | {email}", "El importe de {amount} vence el {date}.", "Los pintores van el lunes a {company}.", "Con domicilio en {address} desde hace años.", "Reenviado por {name} <{email}> ayer.", "En el canal {handle} figura la versión {version}.", "Tras la charla con {titled} se cerró.", "Nadie vio a {given} en {town}.", "En la hoja está {identity} y luego {badid}.", "{order}: {identity}",
     ],
 }
 TITLES = {"fr": ["M.", "Mme", "Me", "Dr", "Mme", "Monsieur"], "de": ["Herr", "Frau", "Herrn", "Dr.", "Prof."], "en": ["Mr", "Ms", "Mrs", "Dr.", "Mr."], "it": ["sig.", "la sig.ra", "dott.", "il sig.", "dott.ssa", "avv."], "es": ["Sr.", "Sra.", "D.", "D.ª", "Dr."]}
 STREETS = {"fr": ["rue", "avenue", "chemin", "place", "impasse", "quai", "boulevard", "allée"], "it": ["via", "viale", "vicolo", "piazza", "corso"], "es": ["calle", "avenida", "paseo", "plaza", "camino"]}
-STREET_NAMES = {"fr": ["des Tilleuls", "du Vieux-Moulin", "de la Gare", "des Hirondelles", "du Lac", "de l'Église"], "it": ["dei Tigli", "della Fonte", "del Mulino", "Garibaldi", "delle Rondini"], "es": ["del Olmo", "de la Fuente", "Mayor", "de las Golondrinas", "del Molino Viejo"]}
-GERMAN_HEADS, GERMAN_TAILS = ["Linden", "Mühle", "Garten", "Hof", "Bahnhof", "Ahorn", "Schwalben", "Berg"], ["strasse", "straße", "gasse", "weg", "platz", "allee"]
-ENGLISH_HEADS, ENGLISH_TAILS = ["Linden", "Quarry", "Old Orchard", "Mill", "Church", "Swallow", "Station"], ["Street", "Road", "Lane", "Close", "Avenue"]
-TOWN_HEADS, TOWN_TAILS = ["Alt", "Stein", "Val", "Sorn", "Lint", "Mer", "Nord", "Clair", "Bel", "Hoch"], ["dorf", "wil", "bruck", "ville", "hafen", "mont", "lago", "mora", "tal", "burg"]
-COMPANY_HEADS, COMPANY_TAILS = ["Nova", "Quad", "Zeph", "Lumi", "Corra", "Veri", "Helve", "Ax", "Tekle", "Sina", "Orbi", "Prag"], ["nix", "tec", "dex", "lon", "mer", "phar", "sol", "vex", "gon", "ris"]
+STREET_NAMES = {"fr": ["Victor-Hugo", "de la Paix", "des Écoles", "Pasteur", "du Château", "des Roses", "de l'Abbaye"], "it": ["Roma", "della Pace", "Dante", "San Marco", "dei Fiori"], "es": ["Real", "de la Paz", "San Juan", "de los Reyes", "de Alcalá"]}
+GERMAN_HEADS, GERMAN_TAILS = ["Wald", "Rosen", "Schul", "Haupt", "Brunnen", "Wiesen", "Kirch", "Sonnen"], ["strasse", "straße", "gasse", "weg", "platz", "allee"]
+ENGLISH_HEADS, ENGLISH_TAILS = ["High", "Park", "Victoria", "Old King", "Green", "Elm", "Market"], ["Street", "Road", "Lane", "Close", "Avenue"]
+TOWN_HEADS, TOWN_TAILS = ["Neu", "Ober", "Wald", "Grün", "Roche", "Font", "Castel", "Monte", "Ash", "Wood"], ["heim", "stadt", "feld", "court", "bourg", "field", "ford", "verde", "rosa", "bach"]
 FORMS = ["AG", "SA", "GmbH", "Ltd", "& Cie", "SARL", "SpA"]
 
 
@@ -95,6 +94,11 @@ class Maker:
     def town(self) -> str:
         return self.one(TOWN_HEADS) + self.one(["", "o", "a", "en"]) + self.one(TOWN_TAILS)
 
+    def invented(self) -> str:
+        """A company's name: two or three syllables."""
+        syllables = (self.one("bcdfgklmnprstvz") + self.one("aeiou") + self.one(["", "", "l", "n", "r", "x"]) for _ in range(self.one([2, 2, 3])))
+        return "".join(syllables).capitalize()
+
     def street(self, lang: str) -> str:
         if lang == "de":
             return self.one(GERMAN_HEADS) + self.one(GERMAN_TAILS)
@@ -123,7 +127,7 @@ class Maker:
     def email(self) -> str:
         local = self.one([f"{self.one(self.givens)}.{self.one(self.families)}", f"{self.one(self.givens)[0]}.{self.one(self.families)}", self.one(self.families) + self.digits(2), f"{self.one(self.givens)}_{self.one(self.families)}", self.one(self.families) + "+news"])
         local = pii.folded(local)
-        domain = pii.folded(self.one(COMPANY_HEADS) + self.one(COMPANY_TAILS)) + self.one([".test", ".example", ".invalid", ".ch", ".com"])
+        domain = pii.folded(self.invented()) + self.one([".test", ".example", ".invalid", ".ch", ".com"])
         domain = self.one(["", "", "mail."]) + domain
         at, dot = self.one([("@", "."), ("@", "."), ("@", "."), ("(at)", "."), (" [at] ", "."), (" [at] ", " [dot] "), (" (at) ", " (dot) ")])
         s = local + at + domain.replace(".", dot)
@@ -175,7 +179,7 @@ class Maker:
 
     def order(self) -> str:
         d = self.digits
-        return self.one([f"2024-{d(5)}", f"VK/{d(3)}/{d(2)}", f"{d(2)} {d(2)} {d(2)}", f"{d(1)}.{d(2)}.{d(2)}", f"{d(3)}-{d(2)}", d(7), d(10), d(13), f"{d(4)} {d(4)}", f"{d(3)} {d(3)} {d(3)}"])
+        return self.one([f"2024-{d(5)}", f"{self.one('ABCR')}{self.one('EFKN')}/{d(3)}/{d(2)}", f"{d(2)} {d(2)} {d(2)}", f"{d(1)}.{d(2)}.{d(2)}", f"{d(3)}-{d(2)}", d(7), d(10), d(13), f"{d(4)} {d(4)}", f"{d(3)} {d(3)} {d(3)}"])
 
     def filler(self, slot: str, lang: str) -> tuple[str, str | None, int]:
         """(string, kind or None, characters before the mention)."""
@@ -191,8 +195,9 @@ class Maker:
         if slot == "street":
             return self.street(lang), None, 0
         if slot == "company":
-            head = self.mingled(self.families) if self.rng.random() < 0.4 else self.one(COMPANY_HEADS) + self.one(["", "no", "mi"]) + self.one(COMPANY_TAILS)
-            return (f"{head} {self.one(FORMS)}" if self.rng.random() < 0.8 or head[:4] in ("Bran",) else self.one(COMPANY_HEADS) + self.one(COMPANY_TAILS)), None, 0
+            if self.rng.random() < 0.4:
+                return f"{self.mingled(self.families)} {self.one(FORMS)}", None, 0
+            return self.invented() + (f" {self.one(FORMS)}" if self.rng.random() < 0.8 else ""), None, 0
         if slot == "given":
             return self.mingled(self.givens), None, 0
         if slot == "town":
@@ -202,7 +207,7 @@ class Maker:
         if slot == "version":
             return f"{self.digits(1)}.{self.digits(2)}@{self.digits(1)}", None, 0
         if slot == "amount":
-            return self.one([f"CHF {self.digits(2)}'{self.digits(3)}.-", f"{self.digits(5)} EUR", f"{self.digits(2)} @ {self.digits(2)}.50"]), None, 0
+            return self.one([f"CHF {self.digits(2)}'{self.digits(3)}.-", f"{self.digits(5)} EUR", f"{self.digits(2)} @ {self.digits(1)}.{self.digits(2)}"]), None, 0
         if slot == "date":
             return self.one(["12.03.2021", "7 juin 2020", "2021-05-14", "14/02/2019", f"{self.digits(2)}.{self.digits(2)}.20{self.digits(2)}"]), None, 0
         return (self.order() if slot == "order" else self.badid()), None, 0
