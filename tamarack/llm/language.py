@@ -10,8 +10,8 @@ chosen by a hash of the id. Labels may be wrong: after a first round records tha
 model gives to another language are left out and the model is learned again.
 
 A text is cut into segments at line ends and sentence ends. A segment's confidence is the
-softmax of the scores. A segment that is short, or whose lead over the text's main language
-is small, is given to the main language.
+softmax of the scores. Neighbouring segments of one language that are short, or whose lead over the text's main language
+is small, are given to the main language.
 """
 
 from __future__ import annotations
@@ -32,9 +32,9 @@ from tamarack.llm.common import plain_text
 
 LANGUAGES = ("fr", "de", "en", "it", "es")
 FOLDER, VOCABULARY = "/opt/tokenizers", "piece_bpe_32k"
-SAMPLE, ROUNDS, LONGEST = 5000, 4, 14
+SAMPLE, ROUNDS = 5000, 4
 FLOOR = 1e-7
-MOST = 4.0  # a word counts at most so much against any language, so that a foreign name decides nothing
+MOST = 4.0  # for the choice of a language a word counts at most so much against any, so that a foreign name decides nothing; not for the confidence
 LEAD, LEAST_WORDS = 6.0, 6
 RECORD_WORDS = 8
 
@@ -53,6 +53,7 @@ _LABELS = {name: code for code, names in NAMES.items() for name in names.split()
 _WORD = re.compile(r"[^\W\d_]+")
 _SKIP = re.compile(r"\S*(?:@|://|www\.|\d)\S*")
 _BREAK = re.compile(r"(?<=[.!?…])(?<!\s\d\.)(?<!\s\d\d\.)[\"»”’)\]]*\s+(?=[\"«“„(¿¡]*[^\W\d_a-z])|\s*\n\s*")
+_LOWER_BREAK = re.compile(r"(?<=[.!?…])(?<!\s\d\.)(?<!\s\d\d\.)[\"»”’)\]]*\s+(?=[\"«“„(¿¡]*[^\W\d_])|\s*\n\s*")
 _SEGMENTS = "segment int, start int, stop int, lang string, confidence double, n_words int"
 
 
@@ -69,25 +70,25 @@ def named(label: str | None) -> str | None:
 
 @functools.lru_cache(maxsize=2)
 def pieces(folder: str = FOLDER, vocabulary: str = VOCABULARY) -> dict[str, int]:
-    """The vocabulary's pieces in lower case, at most LONGEST characters; a word begins with a mark."""
+    """The vocabulary's pieces in lower case; a word begins with a mark."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=os.path.join(folder, f"{vocabulary}.model"))
     out: dict[str, int] = {}
     for i in range(model.get_piece_size()):
         piece = model.id_to_piece(i).lower()
-        if not model.is_control(i) and not model.is_byte(i) and not model.is_unknown(i) and len(piece) <= LONGEST and all(c.isalpha() or c == "▁" for c in piece) and "▁" not in piece[1:]:
+        if not model.is_control(i) and not model.is_byte(i) and not model.is_unknown(i) and all(c.isalpha() or c == "▁" for c in piece) and "▁" not in piece[1:]:
             out.setdefault(piece, len(out))
     return out
 
 
-def lattice(word: str, known: dict[str, int]) -> list[tuple[int, int, int]]:
-    """(from, to, piece) of all pieces in the word; -1 for a character that is none."""
+def lattice(word: str, known: dict[str, int], longest: int) -> list[tuple[int, int, int]]:
+    """(from, to, piece) of all pieces in the word, at most ``longest`` characters each; -1 for a character that is none."""
     text = "▁" + word
     out = []
     for a in range(len(text)):
         single = False
-        for b in range(a + 1, min(len(text), a + LONGEST) + 1):
+        for b in range(a + 1, min(len(text), a + longest) + 1):
             p = known.get(text[a:b])
             if p is not None:
                 out.append((a, b, p))
@@ -102,24 +103,30 @@ class Model:
 
     def __init__(self, known: dict[str, int], probability: np.ndarray):
         self.known, self.probability = known, probability
+        self.longest = max(map(len, known), default=1)
 
     def word(self, word: str) -> list[float]:
-        """The log of the forward sum of a word for each language."""
-        word = word[:40] if len(word) > 40 else word
+        """The log of the forward sum of a word for each language, over all segmentations, whatever its length."""
         n = len(word) + 1
         forward = np.zeros((n + 1, self.probability.shape[1]))
         forward[0] = 1.0
-        for a, b, p in lattice(word, self.known):
+        scale, at = np.zeros(forward.shape[1]), 0
+        for a, b, p in lattice(word, self.known, self.longest):
+            if a >= at + 24:
+                # long words: what lies ahead is made greater again, so that it doesn't vanish
+                at, least = a, np.maximum(forward[a], 1e-300)
+                forward[a : a + self.longest + 1] /= least
+                scale += np.log(least)
             forward[b] += forward[a] * (self.probability[p] if p >= 0 else FLOOR)
-        return np.log(np.maximum(forward[n], 1e-300)).tolist()
+        return (np.log(np.maximum(forward[n], 1e-300)) + scale).tolist()
 
 
 def learn(counts: list[Counter], known: dict[str, int], rounds: int = ROUNDS) -> Model:
-    """From the word counts of each language."""
-    n = len(known)
+    """From the word counts of each language. Words so long that their probability is below the least number teach nothing."""
+    n, longest = len(known), max(map(len, known), default=1)
     probability = np.full((n + 1, len(counts)), 0.0)
     for k, words in enumerate(counts):
-        lattices = [(lattice(w[:40], known), len(w[:40]) + 1, c) for w, c in words.items()]
+        lattices = [(lattice(w, known, longest), len(w) + 1, c) for w, c in words.items()]
         p = np.full(n + 1, 1.0 / (n + 1))
         for _ in range(rounds):
             expected = np.zeros(n + 1)
@@ -148,9 +155,9 @@ def words_of(text: str) -> list[str]:
 
 
 def segments(text: str) -> list[tuple[int, int]]:
-    """Spans of lines and sentences that hold something."""
+    """Spans of lines and sentences that hold something; a text without capitals is cut at every sentence end."""
     out, at = [], 0
-    for m in _BREAK.finditer(text):
+    for m in (_BREAK if text != text.lower() else _LOWER_BREAK).finditer(text):
         if text[at : m.start()].strip():
             out.append((at, m.start()))
         at = m.end()
@@ -165,8 +172,6 @@ class Scorer:
     def __init__(self, model: Model):
         self.model, self.at = model, {}
         self.rows: list[list[float]] = []
-        self.table = np.zeros((0, len(LANGUAGES)))
-
     def index(self, word: str) -> int:
         i = self.at.get(word)
         if i is None:
@@ -176,12 +181,12 @@ class Scorer:
             i = self.at[word] = len(self.rows)
             found = self.model.word(word)
             most = max(found)
-            self.rows.append([max(x, most - MOST) for x in found])
+            self.rows.append([*(max(x, most - MOST) for x in found), *found])
         return i
 
     def scores(self, parts: list[list[str]]) -> np.ndarray:
-        """A row for each list of words."""
-        out = np.zeros((len(parts), len(LANGUAGES)))
+        """A row for each list of words: the scores that choose, those with MOST, and the whole ones."""
+        out = np.zeros((len(parts), 2 * len(LANGUAGES)))
         for lo in range(0, len(parts), 4000):
             block = parts[lo : lo + 4000]
             if len(self.at) > 300_000:
@@ -191,21 +196,27 @@ class Scorer:
             if index:
                 table = np.asarray(self.rows)
                 owner = np.repeat(np.arange(len(block)), [len(w) for w in block])
-                for k in range(len(LANGUAGES)):
+                for k in range(out.shape[1]):
                     out[lo : lo + len(block), k] = np.bincount(owner, table[index, k], len(block))
         return out
 
 
 def assign(scores: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Language and confidence of each segment of one text."""
+    """Language and confidence of each segment of one text.
+
+    Neighbouring segments of one language stand together against the text's main language; the confidence is the whole
+    likelihood's.
+    """
     if not sizes.sum():
         return np.full(len(sizes), -1), np.zeros(len(sizes))
+    scores, whole = scores[:, : len(LANGUAGES)], scores[:, len(LANGUAGES) :]
     best = scores.argmax(1)
     weight = np.bincount(best, sizes, len(LANGUAGES))
     main = int(weight.argmax())
     lead = scores[np.arange(len(best)), best] - scores[:, main]
-    best = np.where((sizes < LEAST_WORDS) | (lead < LEAD), main, best)
-    odds = np.exp(scores - scores.max(1, keepdims=True))
+    run = np.cumsum(np.r_[False, best[1:] != best[:-1]])
+    best = np.where((np.bincount(run, sizes)[run] < LEAST_WORDS) | (np.bincount(run, lead)[run] < LEAD), main, best)
+    odds = np.exp(whole - whole.max(1, keepdims=True))
     sure = odds[np.arange(len(best)), best] / odds.sum(1)
     return np.where(sizes > 0, best, main), np.where(sizes > 0, sure, 0.0)
 
@@ -231,7 +242,7 @@ def train(records: DataFrame, rows: int | None = None, sample: int = SAMPLE, fol
     if not rows:
         return fit([], 1)
     first = Scorer(fit(rows, 2))
-    sure = first.scores([w for _, w in rows]).argmax(1)
+    sure = first.scores([w for _, w in rows])[:, : len(LANGUAGES)].argmax(1)
     return fit([r for r, s in zip(rows, sure) if r[0] == s], ROUNDS)
 
 
