@@ -5,10 +5,13 @@ class, named by the set's hash; a class stands once in a bucket. A run of the jo
 of the sets) a hash function; a set x follows the tokens whose value is below
 1 / (LAMBDA |x|), so 1 / LAMBDA of them on the average, so similar sets share paths and others rarely do.
 Splitting goes on until the bucket is small: the frequencies of the path's tokens
-bound it. These come from a count-min sketch of fixed size, the same for all records, so that
-any two records stop on the same path. The sketch never counts too little: a path whose
-rarest token is in one record only is left out, as it holds no pair. ``RUNS`` repetitions
-with other hash functions reach the recall wanted.
+bound it. These come from a count-min sketch, the same for all records, so that
+any two records stop on the same path; it never counts too little, and a path whose
+rarest token is in one record only is left out, as it holds no pair. Tokens that always go together (a stock paragraph) mislead
+that estimate, so buckets are counted, too, on a sample of the sets: what is crowded there is split on.
+
+Runs are repeated with other hash functions until the target recall: how many pairs were met in one run only, and in two,
+tells how many were met in none (Chao's estimate).
 
 The members of a bucket are compared by a sketch of 128 bits (one bit of 128 min-hashes) and
 their sizes, and what is left by the sets themselves.
@@ -26,13 +29,14 @@ from tamarack.session import cut_lineage
 
 LIMIT = 0.5
 LEAST_WORDS, SHINGLE = 20, 3
-RUNS, LAMBDA, DEPTH = 6, 0.6, 8
+RECALL, RUNS, MORE, MOST_RUNS = 0.999, 8, 4, 32  # runs at first, and in each further round
+LAMBDA, DEPTH = 0.6, 12
 SMALL, EXPECTED = 24, 20.0  # a bucket is small if the rarest token is in so few sets, or so many sets are expected
-SKETCH_BITS, SKETCH_ROWS = 20, 2
 TOGETHER = 0.75  # tokens of a text go together: a further one divides a bucket by less than its frequency says
-AGREE = 87  # of 128 bits: 96 are expected at the limit, 66 for strangers
-EXPAND = 64
-MARK_BITS = 22
+SAMPLED, CROWDED, ROUNDS = (5_000, 200_000), 16, DEPTH  # sets in the sample at least and at most; so many of it in a bucket are a crowd
+SKETCH_ROWS, SKETCH_BITS = 2, (16, 23)  # slots of a row, by the number of tokens: a byte each
+AGREE = 80  # of 128 bits: 96 are expected at the limit, 66 for strangers
+MARK_BITS = (16, 27)  # of the bitmap of wanted sets, by their number
 SEED = 11
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -93,19 +97,55 @@ def _sets(texts: DataFrame) -> DataFrame:
     return texts.select(F.col("id").cast("string").alias("id"), "text").mapInArrow(run, "id string, sig long, s array<int>")
 
 
-def _slots(tokens: np.ndarray, row: int) -> np.ndarray:
-    return _mixed(tokens.astype(np.uint32).astype(np.uint64) + np.uint64(1000003 * (row + 1))) >> np.uint64(64 - SKETCH_BITS)
+#: What a byte of the sketch stands for: exact to 64, then in steps of an eighth of a power of two.
+_VALUES = np.r_[np.arange(65), np.ceil(64 * 2.0 ** (np.arange(1, 191) / 8))].astype(np.int64)
+_BLOCK = 4096
+
+
+def _bits(n: int, bounds: tuple[int, int]) -> int:
+    return min(max(int(n).bit_length(), bounds[0]), bounds[1])
+
+
+def _slots(tokens: np.ndarray, row: int, bits: int) -> np.ndarray:
+    return (_mixed(tokens.astype(np.uint32).astype(np.uint64) + np.uint64(1000003 * (row + 1))) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+class Sketch:
+    """A count-min sketch: SKETCH_ROWS x 2^bits bytes, rounded up, so it never says too little."""
+
+    def __init__(self, codes: np.ndarray, bits: int):
+        self.codes, self.bits = codes, bits
 
+    def __call__(self, tokens: np.ndarray) -> np.ndarray:
+        return _VALUES[np.minimum.reduce([self.codes[r][_slots(tokens, r, self.bits)] for r in range(SKETCH_ROWS)])]
 
-def _frequencies(sets: DataFrame) -> np.ndarray:
-    """The count-min sketch: SKETCH_ROWS x 2^SKETCH_BITS counts, whatever the input's size."""
+
+def _blocks(slots: DataFrame, total: int, value: str) -> np.ndarray:
+    """Bytes of ``value`` by ``slot`` as one array: what comes to the driver is ``total`` bytes, whatever is in them."""
+
+    def pack(group: pa.Table) -> pa.Table:
+        at = group.column("slot").to_numpy() % _BLOCK
+        out = np.zeros(_BLOCK, np.uint8)
+        out[at] = group.column(value).to_numpy()
+        return pa.table({"block": group.column("block").slice(0, 1), "bytes": pa.array([out.tobytes()], pa.binary())})
+
+    packed = slots.withColumn("block", F.floor(F.col("slot") / _BLOCK).cast("int")).select("block", "slot", value).groupBy("block").applyInArrow(pack, "block int, bytes binary").toArrow()
+    out = np.zeros((-(-total // _BLOCK), _BLOCK), np.uint8)
+    for block, data in zip(packed.column("block").to_pylist(), packed.column("bytes").to_pylist()):
+        out[block] = np.frombuffer(data, np.uint8)
+    return out.ravel()[:total]
+
+
+def _frequencies(sets: DataFrame, tokens: int) -> Sketch:
+    """In how many rows each token is, by slot; ``tokens``: how many there are in all."""
+    bits = _bits(tokens // 8, SKETCH_BITS)
 
     def run(batches):
-        total = np.zeros((SKETCH_ROWS, 1 << SKETCH_BITS), np.int64)
+        total = np.zeros((SKETCH_ROWS, 1 << bits), np.int64)
         for batch in batches:
-            tokens = batch.column("s").flatten().to_numpy(zero_copy_only=False)
+            found = batch.column("s").flatten().to_numpy(zero_copy_only=False)
             for r in range(SKETCH_ROWS):
-                total[r] += np.bincount(_slots(tokens, r).astype(np.int64), minlength=1 << SKETCH_BITS)
+                total[r] += np.bincount(_slots(found, r, bits), minlength=1 << bits)
         flat = total.ravel()
         at = np.flatnonzero(flat)
         for lo in range(0, len(at), 100_000):
@@ -113,10 +153,9 @@ def _frequencies(sets: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(flat[part])], ["slot", "n"])
 
     sums = sets.select("s").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    got = sums.select("slot", F.least("n", F.lit(2**31 - 1)).cast("int").alias("n")).toArrow()  # fixed size
-    out = np.zeros(SKETCH_ROWS << SKETCH_BITS, np.int32)
-    out[got.column("slot").to_numpy()] = got.column("n").to_numpy()
-    return out.reshape(SKETCH_ROWS, -1)
+    above = F.least(F.ceil(F.log2(F.col("n") / 64) * 8), F.lit(190)) + 64
+    codes = sums.select("slot", F.when(F.col("n") <= 64, F.col("n")).otherwise(above).cast("int").alias("code"))
+    return Sketch(_blocks(codes, SKETCH_ROWS << bits, "code").reshape(SKETCH_ROWS, -1), bits)
 
 
 def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -125,10 +164,11 @@ def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.arange(total) - np.repeat(first, length) + np.repeat(start, length)
 
 
-def follow(tokens: np.ndarray, sizes: np.ndarray, frequency: np.ndarray, n: int, run: int) -> tuple[np.ndarray, np.ndarray]:
+def follow(tokens: np.ndarray, sizes: np.ndarray, frequency: np.ndarray, n: int, run: int, crowded: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, path) of the buckets that the sets of a batch reach in a run.
 
-    ``tokens``: the sets one after the other; ``frequency``: of each token; ``n``: of all sets.
+    ``tokens``: the sets one after the other; ``frequency``: of each token; ``n``: of all sets; ``crowded``: the paths
+    that aren't small, in ascending order.
     """
     start = np.cumsum(sizes) - sizes
     below = (2.0**64 / (LAMBDA * np.maximum(sizes, 1 / LAMBDA))).clip(max=2.0**64 - 2048).astype(np.uint64)
@@ -151,7 +191,11 @@ def follow(tokens: np.ndarray, sizes: np.ndarray, frequency: np.ndarray, n: int,
         row = row[parent]
         least = np.minimum(least[parent], seen)
         expected = expected[parent] * np.minimum(seen / n, 1.0) ** (1.0 if depth == 0 else TOGETHER)
-        done = (least <= SMALL) | (expected < EXPECTED) if depth < DEPTH - 1 else np.ones(len(row), bool)
+        done = (least <= SMALL) | (expected < EXPECTED)
+        if len(crowded):
+            done &= crowded[np.searchsorted(crowded, path).clip(max=len(crowded) - 1)] != path
+        if depth == DEPTH - 1:
+            done[:] = True
         rows.append(row[done])
         paths.append(path[done])
         row, path, least, expected = row[~done], path[~done], least[~done], expected[~done]
@@ -174,42 +218,69 @@ def _sketch(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _buckets(sets: DataFrame, runs: int) -> DataFrame:
-    """(``path``, ``sig``, ``k``, ``b0``, ``b1``): a row for each bucket a set is in."""
+class _Plan:
+    """What the runs share: the sketch, the number of sets, the crowded paths."""
+
+    def __init__(self, sketch: Sketch, n: int):
+        self.sketch, self.n, self.crowded = sketch, max(n, 1), np.empty(0, np.uint64)
+
+    def paths(self, lists: pa.ListArray, runs: range):
+        tokens = lists.flatten().to_numpy(zero_copy_only=False)
+        sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+        frequency = self.sketch(tokens)
+        found = [follow(tokens, sizes, frequency, self.n, r, self.crowded) for r in runs]
+        run = np.repeat(np.array(runs, np.uint8), [len(row) for row, _ in found])
+        row, path = (np.concatenate(x) for x in zip(*found))
+        _, once = np.unique(path * np.uint64(0x9E3779B97F4A7C15) + row.astype(np.uint64), return_index=True)
+        return tokens, sizes, row[once], path[once], run[once]
+
+
+def _find_crowded(sets: DataFrame, plan: _Plan, runs: range) -> None:
+    """Adds the paths of ``runs`` that hold a crowd to ``plan``: on a sample of bounded size, again below those found."""
+    most = min(max(SAMPLED[0], plan.n // 16), SAMPLED[1])
+    some = sets.where(F.pmod(F.xxhash64("sig"), F.lit(1 << 30)) < int(min(1.0, most / plan.n) * (1 << 30))).dropDuplicates(["sig"]).select("s")
     context = sets.sparkSession.sparkContext
-    n = sets.count()
-    shared = context.broadcast(_frequencies(sets))  # fixed size, 8 MB
+    for _ in range(ROUNDS):
+        shared = context.broadcast(plan)
+
+        def run(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    path = shared.value.paths(batch.column("s"), runs)[3]
+                    yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64))], ["path"])
+
+        counts = some.mapInArrow(run, "path long").groupBy("path").count().where(F.col("count") >= CROWDED)
+        got = counts.select("path").toArrow().column("path").to_numpy()  # at most the sample's paths / CROWDED
+        if not len(got):
+            return
+        plan.crowded = np.union1d(plan.crowded, got.view(np.uint64))
+
+
+def _buckets(sets: DataFrame, plan: _Plan, runs: range) -> DataFrame:
+    """(``path``, ``run``, ``sig``, ``k``, ``b0``, ``b1``): a row for each bucket a set is in."""
+    shared = sets.sparkSession.sparkContext.broadcast(plan)  # at most 2^24 bytes, and the crowded paths
 
     def run(batches):
-        sketch = shared.value
         for batch in batches:
             # of copies in a batch one is enough; the others go after the shuffle
             _, once = np.unique(batch.column("sig").to_numpy(), return_index=True)
             batch = batch.take(pa.array(np.sort(once)))
-            lists = batch.column("s")
-            tokens = lists.flatten().to_numpy(zero_copy_only=False)
-            sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
-            if not len(tokens):
+            if not batch.num_rows:
                 continue
-            frequency = np.minimum.reduce([sketch[r][_slots(tokens, r).astype(np.int64)] for r in range(SKETCH_ROWS)]).astype(np.int64)
-            found = [follow(tokens, sizes, frequency, max(n, 1), r) for r in range(runs)]
-            row, path = (np.concatenate(x) for x in zip(*found))
-            _, once = np.unique(path * np.uint64(0x9E3779B97F4A7C15) + row.astype(np.uint64), return_index=True)
-            row, path = row[once], path[once]
+            tokens, sizes, row, path, runs_ = shared.value.paths(batch.column("s"), runs)
             bits = _sketch(tokens, sizes)
             sig = batch.column("sig").to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), pa.array(sig[row]), pa.array(sizes[row].astype(np.int32)), pa.array(bits[row, 0]), pa.array(bits[row, 1])], ["path", "sig", "k", "b0", "b1"])
+            yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), pa.array(runs_.astype(np.int8)), pa.array(sig[row]), pa.array(sizes[row].astype(np.int32)), pa.array(bits[row, 0]), pa.array(bits[row, 1])], ["path", "run", "sig", "k", "b0", "b1"])
 
-    return sets.select("sig", "s").mapInArrow(run, "path long, sig long, k int, b0 long, b1 long")
+    return sets.select("sig", "s").mapInArrow(run, "path long, run tinyint, sig long, k int, b0 long, b1 long")
 
 
 def _marked(sets: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows whose ``sig`` may be wanted: a bitmap of fixed size spares most others the shuffle."""
-    slot = F.pmod(F.xxhash64("sig"), F.lit(1 << MARK_BITS)).cast("int")
-    slots = wanted.select(slot.alias("slot")).distinct().toArrow().column("slot").to_numpy()  # at most 2^MARK_BITS
-    bits = np.zeros(1 << MARK_BITS, np.uint8)
-    bits[slots] = 1
-    shared = sets.sparkSession.sparkContext.broadcast(np.packbits(bits))  # half a megabyte
+    """The rows whose ``sig`` may be wanted: a bitmap, of eight bits for each wanted one, spares most others the shuffle."""
+    size = 1 << _bits(wanted.count() * 8, MARK_BITS)
+    slot = F.pmod(F.xxhash64("sig"), F.lit(size)).cast("int")
+    bits = wanted.select(slot.alias("bit")).distinct().groupBy(F.floor(F.col("bit") / 8).cast("int").alias("slot")).agg(F.sum(F.call_function("shiftright", F.lit(128), F.col("bit") % 8)).cast("int").alias("byte"))
+    shared = sets.sparkSession.sparkContext.broadcast(_blocks(bits, size // 8, "byte"))  # at most 2^24 bytes
 
     def run(batches):
         marks = np.unpackbits(shared.value).astype(bool)
@@ -225,53 +296,78 @@ def _similarity(a: Column, b: Column) -> Column:
     return shared / (F.size(a) + F.size(b) - shared)
 
 
-def similar_sets(sets: DataFrame, limit: float = LIMIT, runs: int = RUNS) -> DataFrame:
-    """(``sig_a``, ``sig_b``), ``sig_a`` < ``sig_b``: sets with a similarity of ``limit`` or more.
-
-    ``sets``: ``sig``, ``s``; a set may come several times.
-    """
-    buckets = _buckets(sets, runs)
+def _met(sets: DataFrame, plan: _Plan, runs: range, limit: float) -> DataFrame:
+    """(``sig_a``, ``sig_b``, ``runs``), ``sig_a`` < ``sig_b``: sets with a similarity of ``limit`` or more, and the runs they met in, as bits."""
+    _find_crowded(sets, plan, runs)
+    buckets = _buckets(sets, plan, runs)
     # by path first, so that what drops copies and what joins needs no other shuffle
     buckets = buckets.repartition("path").dropDuplicates(["path", "sig"])
-    left = buckets.select("path", *(F.col(c).alias(f"{c}_a") for c in ("sig", "k", "b0", "b1")))
+    left = buckets.select("path", "run", *(F.col(c).alias(f"{c}_a") for c in ("sig", "k", "b0", "b1")))
     right = buckets.select("path", *(F.col(c).alias(f"{c}_b") for c in ("sig", "k", "b0", "b1")))
     differ = F.bit_count(F.col("b0_a").bitwiseXOR(F.col("b0_b"))) + F.bit_count(F.col("b1_a").bitwiseXOR(F.col("b1_b")))
     near = (F.col("sig_a") < F.col("sig_b")) & (F.least("k_a", "k_b") >= limit * F.greatest("k_a", "k_b")) & (differ <= 128 - AGREE)
-    pairs = left.join(right, "path").where(near).select("sig_a", "sig_b").distinct()
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("run").cast("int"))
+    pairs = left.join(right, "path").where(near).groupBy("sig_a", "sig_b").agg(F.bit_or(bit).alias("runs"))
     pairs = cut_lineage(pairs, "neardup-candidates")
     wanted = pairs.select(F.col("sig_a").alias("sig")).union(pairs.select("sig_b")).distinct()
     # equal sets are equal arrays: any of them stands for the class
     kept = _marked(sets, wanted).groupBy("sig").agg(F.first("s").alias("s")).join(wanted, "sig", "left_semi")
     pairs = pairs.join(kept.select(F.col("sig").alias("sig_a"), F.col("s").alias("s_a")), "sig_a").join(kept.select(F.col("sig").alias("sig_b"), F.col("s").alias("s_b")), "sig_b")
-    return pairs.where(_similarity(F.col("s_a"), F.col("s_b")) >= limit).select("sig_a", "sig_b")
+    return pairs.where(_similarity(F.col("s_a"), F.col("s_b")) >= limit).select("sig_a", "sig_b", "runs")
+
 
+def estimated_recall(n: int, once: int, twice: int, runs: int) -> float:
+    """The share of all pairs that was met, of which ``once`` in one run only and ``twice`` in two (Chao's lower bound of the unmet)."""
+    unmet = (runs - 1) / runs * once * (once - 1) / (2 * (twice + 1))
+    return n / (n + unmet) if n else 1.0
 
-def classes_and_links(texts: DataFrame, limit: float = LIMIT, runs: int = RUNS) -> tuple[DataFrame, DataFrame]:
+
+def similar_sets(sets: DataFrame, limit: float = LIMIT, recall: float = RECALL, report: dict | None = None) -> DataFrame:
+    """(``sig_a``, ``sig_b``), ``sig_a`` < ``sig_b``: sets with a similarity of ``limit`` or more.
+
+    ``sets``: ``sig``, ``s``; a set may come several times. Runs are repeated until ``recall`` is reached by estimate, at most
+    MOST_RUNS; ``report`` takes ``runs`` and ``recall``.
+    """
+    n, tokens = sets.agg(F.count(F.lit(1)), F.sum(F.size("s"))).first()
+    plan = _Plan(_frequencies(sets, tokens or 0), n)
+    found, done, more = None, 0, RUNS
+    while True:
+        now = _met(sets, plan, range(done, done + more), limit)
+        if found is not None:
+            now = found.unionByName(now).groupBy("sig_a", "sig_b").agg(F.bit_or("runs").alias("runs"))
+        found, done, more = cut_lineage(now, "neardup-links"), done + more, MORE
+        times = F.bit_count("runs")
+        met, once, twice = found.agg(F.count(F.lit(1)), F.count(F.when(times == 1, 1)), F.count(F.when(times == 2, 1))).first()
+        reached = estimated_recall(met, once, twice, done)
+        if report is not None:
+            report |= {"runs": done, "recall": reached}
+        if reached >= recall or done + more > MOST_RUNS:
+            return found.select("sig_a", "sig_b")
+
+
+def classes_and_links(texts: DataFrame, limit: float = LIMIT, recall: float = RECALL, report: dict | None = None) -> tuple[DataFrame, DataFrame]:
     """(``id``, ``sig``) of all records that count, and (``sig_a``, ``sig_b``) between classes.
 
     ``texts``: ``id`` (unique), ``text``; more columns are ignored. Null ids and texts, and
     texts of fewer than 20 words or three plain tokens, are in no class.
     """
     rows = cut_lineage(_sets(texts), "neardup-sets")
-    return rows.select("id", "sig"), similar_sets(rows, limit, runs)
+    return rows.select("id", "sig"), similar_sets(rows, limit, recall, report)
 
 
-def pairs(texts: DataFrame, limit: float = LIMIT, runs: int = RUNS) -> DataFrame:
-    """(``id_a``, ``id_b``), ``id_a`` < ``id_b``: records with a similarity of ``limit`` or more.
+def pairs(texts: DataFrame, limit: float = LIMIT, recall: float = RECALL, report: dict | None = None) -> DataFrame:
+    """(``id_a``, ``id_b``), ``id_a`` < ``id_b``: records with a similarity of ``limit`` or more, copies (equal sets) among them.
 
-    Copies (equal sets) of up to EXPAND records are given with all their pairs. In a larger
-    class the smallest id stands for all in pairs with other classes, and each other
-    member is paired with it: no link between different texts and no group is lost.
+    All pairs of all members of similar classes, whatever their size. A class of n copies so gives n * (n - 1) / 2 rows:
+    where copies are many, ``groups`` gives a row a record.
     """
-    members, links = classes_and_links(texts, limit, runs)
-    size = members.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
-    small = size.where(F.col("n").between(2, EXPAND)).select("sig")
-    several = members.join(small, "sig")
-    inside = several.select("sig", F.col("id").alias("id_a")).join(several.select("sig", F.col("id").alias("id_b")), "sig").where("id_a < id_b").select("id_a", "id_b")
-    star = members.join(size.where(F.col("n") > EXPAND).select("sig", "first"), "sig").where("id > first").select(F.col("first").alias("id_a"), F.col("id").alias("id_b"))
-    speaking = members.join(size, "sig").where((F.col("n") <= EXPAND) | (F.col("id") == F.col("first"))).select("sig", "id")
-    across = links.join(speaking.select(F.col("sig").alias("sig_a"), F.col("id").alias("x")), "sig_a").join(speaking.select(F.col("sig").alias("sig_b"), F.col("id").alias("y")), "sig_b").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
-    return inside.unionByName(star).unionByName(across)
+    members, links = classes_and_links(texts, limit, recall, report)
+    several = members.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sig")
+    members = cut_lineage(members.join(several.withColumn("several", F.lit(True)), "sig", "left"), "neardup-members")
+    copies = members.where("several").select("sig", "id")
+    inside = copies.withColumnRenamed("id", "id_a").join(copies.withColumnRenamed("id", "id_b"), "sig").where("id_a < id_b").select("id_a", "id_b")
+    across = links.join(members.select(F.col("sig").alias("sig_a"), F.col("id").alias("x")), "sig_a").join(members.select(F.col("sig").alias("sig_b"), F.col("id").alias("y")), "sig_b").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+    return inside.unionByName(across)
 
 
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
@@ -292,14 +388,13 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         roots = new.select("node", "root")
 
 
-def groups(texts: DataFrame, limit: float = LIMIT, runs: int = RUNS) -> DataFrame:
+def groups(texts: DataFrame, limit: float = LIMIT, recall: float = RECALL) -> DataFrame:
     """(``id``, ``group``, ``n_links``): a row for each record that has near-duplicates.
 
     ``group`` is the smallest id of its connected records; ``n_links`` counts the similar
     classes (records of one class, copies, count as one).
     """
-    members, links = classes_and_links(texts, limit, runs)
-    links = cut_lineage(links, "neardup-found")
+    members, links = classes_and_links(texts, limit, recall)
     root = components(links, "sig_a", "sig_b")
     degree = links.select(F.col("sig_a").alias("sig")).union(links.select("sig_b")).groupBy("sig").agg(F.count(F.lit(1)).alias("n_links"))
     rows = members.join(root.withColumnRenamed("node", "sig"), "sig", "left").join(degree, "sig", "left").withColumn("root", F.coalesce("root", "sig"))

@@ -5,6 +5,7 @@ from collections import Counter
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tamarack.llm import distinct, encode, language, mix, neardup, truncate
 
@@ -70,13 +71,57 @@ def test_groups_are_the_components(spark):
     assert {(r.id, r.group) for r in neardup.groups(df).collect()} == want
 
 
-def test_many_copies_are_a_star(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "EXPAND", 4)
+def test_many_copies_are_all_paired(spark):
     base = sentence(random.Random(1))
     other = [*base[:57], "zzz", "yyy", "xxx"]
-    rows = [(f"c{i}", " ".join(base)) for i in range(6)] + [("d", " ".join(other))]
+    rows = [(f"c{i:02d}", " ".join(base)) for i in range(70)] + [("d", " ".join(other))]
     got = {tuple(r) for r in neardup.pairs(spark.createDataFrame(rows, "id string, text string")).collect()}
-    assert got == {("c0", f"c{i}") for i in range(1, 6)} | {("c0", "d")}
+    ids = [r[0] for r in rows]
+    assert got == {(a, b) for n, a in enumerate(ids) for b in ids[n + 1 :]}
+
+
+def test_runs_go_on_until_the_recall(spark, monkeypatch):
+    """Pairs near the limit are met in few runs: one run isn't enough, and the estimate says so."""
+    r, rows = random.Random(8), []
+    for g in range(150):
+        base = sentence(r, 60)
+        rows += [(f"a{g}", " ".join(base)), (f"b{g}", " ".join(base[:42] + sentence(r, 16)))]
+    df = spark.createDataFrame(rows, "id string, text string")
+    want = jaccard_pairs(rows)
+    assert len(want) > 100
+    monkeypatch.setattr(neardup, "RUNS", 2)
+    monkeypatch.setattr(neardup, "MORE", 2)
+    report = {}
+    got = {tuple(r) for r in neardup.pairs(df, recall=0.99, report=report).collect()}
+    assert got <= want and len(got) >= 0.98 * len(want) and report["runs"] > 2 and report["recall"] >= 0.99
+    assert neardup.estimated_recall(100, 0, 0, 4) == 1 and neardup.estimated_recall(100, 30, 10, 4) < 0.8 and neardup.estimated_recall(0, 0, 0, 1) == 1
+
+
+def test_a_stock_paragraph_makes_no_crowded_bucket(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "SAMPLED", (1000, 1000))
+    r = random.Random(4)
+    stock = sentence(r, 30)
+    rows = [(f"r{i}", " ".join((stock if i % 10 == 0 else sentence(r, 30)) + sentence(r, 40))) for i in range(3000)]
+    rows += [("x", rows[0][1] + " one more")]
+    sets = neardup.cut_lineage(neardup._sets(spark.createDataFrame(rows, "id string, text string")))
+    n, tokens = sets.count(), sets.select(F.sum(F.size("s"))).first()[0]
+    plan = neardup._Plan(neardup._frequencies(sets, tokens), n)
+    runs = range(10)
+    before = neardup._buckets(sets, plan, runs).groupBy("path").count().agg(F.max("count")).first()[0]
+    neardup._find_crowded(sets, plan, runs)
+    after = neardup._buckets(sets, plan, runs).groupBy("path").count().agg(F.max("count")).first()[0]
+    assert before > 150 and after < before / 2
+    assert {tuple(x) for x in neardup.pairs(spark.createDataFrame(rows, "id string, text string")).collect()} == {("r0", "x")}
+
+
+def test_the_sketch_never_counts_too_little(spark):
+    sets = spark.createDataFrame([(i, [1, 2, 3] if i % 3 else [1, 500_000 + i]) for i in range(300)], "sig long, s array<int>")
+    sketch = neardup._frequencies(sets, 700)
+    got = sketch(neardup.np.array([1, 2, 500_003, 77], neardup.np.int32)).tolist()
+    assert 300 <= got[0] <= 330 and 200 <= got[1] <= 220 and got[2] == 1 and got[3] == 0
+    wanted = sets.where("sig % 7 = 0").select("sig")
+    kept = {x.sig for x in neardup._marked(sets, wanted).collect()}
+    assert kept >= {i for i in range(0, 300, 7)} and len(kept) < 100
 
 
 def test_chain_of_components(spark):
@@ -349,6 +394,29 @@ def test_forward_sums_all_segmentations(model):
             assert model.word(word)[k] == pytest.approx(math.log(total))
 
 
+def test_long_words_are_scored_whole(model):
+    """Against sums in logarithms, beyond 40 letters and beyond what a double holds."""
+    for word in ("donaudampfschifffahrtsgesellschaftskapitaenswitwe", "x" * 700, "kommission" * 60):
+        text = "▁" + word
+        for k in range(5):
+            forward = [0.0] + [-math.inf] * len(text)
+            for b in range(1, len(text) + 1):
+                terms = [forward[a] + math.log(model.probability[model.known[text[a:b]], k]) for a in range(max(0, b - model.longest), b) if text[a:b] in model.known]
+                if text[b - 1] not in model.known:
+                    terms.append(forward[b - 1] + math.log(language.FLOOR))
+                top = max(terms)
+                forward[b] = top + math.log(sum(math.exp(t - top) for t in terms))
+            assert model.word(word)[k] == pytest.approx(forward[-1], rel=1e-9)
+
+
+def test_short_neighbours_count_together(spark, model):
+    text = SENTENCES["fr"][0] + " " + SENTENCES["fr"][1] + " Das Archiv verteilt. Die Unterlagen genehmigt die Leitung. Der Standort der Sicherheit."
+    df = spark.createDataFrame([("a", text, "fr"), ("b", text.lower(), "fr")], "id string, text string, label string")
+    assert {tuple(r) for r in language.relabel(df, model).select("id", "lang").collect()} == {(i, lang) for i in "ab" for lang in ("fr", "de")}
+    rows = language.identify(df, model).collect()
+    assert all(0 <= r.confidence <= 1 for r in rows) and len({r.segment for r in rows if r.id == "b"}) == 5
+
+
 def test_segments_and_labels(spark, model):
     mixed = SENTENCES["fr"][0] + " " + SENTENCES["de"][0] + "\n\n" + SENTENCES["fr"][1]
     rows = [("right", " ".join(SENTENCES["de"]), "de"), ("spelled", " ".join(SENTENCES["de"]), "Deutsch"), ("region", " ".join(SENTENCES["fr"]), "fr_CH"), ("wrong", " ".join(SENTENCES["en"]), "it"), ("missing", " ".join(SENTENCES["it"]), None), ("blank", " ".join(SENTENCES["es"]), " "), ("unknown", " ".join(SENTENCES["es"]), "UND"), ("mixed", mixed, "fr"), ("short", "Le comité.", None), ("empty", "", None), ("null", None, None), ("signs", "12 34 !! -- 5 6 7 8 9 10", None), ("phrase", SENTENCES["en"][0][:-1] + " («zu Händen»). " + SENTENCES["en"][1], "en")]
