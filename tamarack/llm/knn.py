@@ -23,6 +23,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -188,7 +189,7 @@ def _matrix(batch: pa.RecordBatch | pa.Table, dim: int) -> np.ndarray:
 
 def _search_group(dim: int, k: int):
     def run(group: pa.Table) -> pa.Table:
-        group = group.take(pa.compute.sort_indices(group.column("id")))
+        group = group.take(pc.sort_indices(group.column("id")))
         x, role = _matrix(group, dim), group.column("role").to_numpy()
         ids = group.column("id").to_numpy(zero_copy_only=False)
         stored, asked = role < 2, role != 1

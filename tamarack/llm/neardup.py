@@ -35,7 +35,7 @@ SMALL, EXPECTED = 24, 20.0  # a bucket is small if the rarest token is in so few
 TOGETHER = 0.75  # tokens of a text go together: a further one divides a bucket by less than its frequency says
 SAMPLED, CROWDED, ROUNDS = (5_000, 200_000), 16, DEPTH  # sets in the sample at least and at most; so many of it in a bucket are a crowd
 SKETCH_ROWS, SKETCH_BITS = 2, (16, 23)  # slots of a row, by the number of tokens: a byte each
-AGREE = 80  # of 128 bits: 96 are expected at the limit, 66 for strangers
+AGREE = 83  # of 128 bits: 96 are expected at the limit (less than 0.3 % have fewer), 66 for strangers
 MARK_BITS = (16, 27)  # of the bitmap of wanted sets, by their number
 SEED = 11
 
@@ -302,11 +302,12 @@ def _met(sets: DataFrame, plan: _Plan, runs: range, limit: float) -> DataFrame:
     buckets = _buckets(sets, plan, runs)
     # by path first, so that what drops copies and what joins needs no other shuffle
     buckets = buckets.repartition("path").dropDuplicates(["path", "sig"])
-    left = buckets.select("path", "run", *(F.col(c).alias(f"{c}_a") for c in ("sig", "k", "b0", "b1")))
-    right = buckets.select("path", *(F.col(c).alias(f"{c}_b") for c in ("sig", "k", "b0", "b1")))
+    # the same columns on both sides, so that one shuffle serves both
+    left = buckets.select("path", *(F.col(c).alias(f"{c}_a") for c in ("run", "sig", "k", "b0", "b1")))
+    right = buckets.select("path", *(F.col(c).alias(f"{c}_b") for c in ("run", "sig", "k", "b0", "b1")))
     differ = F.bit_count(F.col("b0_a").bitwiseXOR(F.col("b0_b"))) + F.bit_count(F.col("b1_a").bitwiseXOR(F.col("b1_b")))
     near = (F.col("sig_a") < F.col("sig_b")) & (F.least("k_a", "k_b") >= limit * F.greatest("k_a", "k_b")) & (differ <= 128 - AGREE)
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("run").cast("int"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest("run_a", "run_b").cast("int"))
     pairs = left.join(right, "path").where(near).groupBy("sig_a", "sig_b").agg(F.bit_or(bit).alias("runs"))
     pairs = cut_lineage(pairs, "neardup-candidates")
     wanted = pairs.select(F.col("sig_a").alias("sig")).union(pairs.select("sig_b")).distinct()
