@@ -5,11 +5,12 @@ Two kinds of evidence, the first that speaks decides.
 Near-copies, for every text. A cut copy resembles the beginning of the longer one, however much was lost, so the
 min-hashes are taken of beginnings: of the first 4, 16, 64 .. runs of five words. A text's longest such window meets the
 same window of all others (``BANDS`` bands of ``ROWS`` hashes: two windows of a similarity of 0.8 meet with 0.97). Of texts
-that meet, a longer one is a partner if it holds the text's last three whole words with more behind them. Partners
-are verified, ``ROUND`` at first and four times as many in each further round, until one tells or none is left: 0.8 of the
-text's runs must be in the longer one. There the end is aligned: if the longer one goes on in the same word, or in the
-same line without a sentence end between, the text was cut; a stop is no sentence end where it goes on in lower case or
-behind an abbreviation. If the longer one ends its sentence or line there, the text is whole.
+that meet, a longer one is a partner if it holds the text's last three whole words with more behind them. There the end
+is aligned: if the longer one goes on in the same word, or in the same line without a sentence end between, it tells a
+cut; a stop is no sentence end where it goes on in lower case or behind an abbreviation. If the longer one ends its
+sentence or line there, it tells that the text is whole. Partners that tell a cut are verified, ``ROUND`` at first and
+four times as many in each further round, until one is right or none is left: 0.8 of the text's runs must be in the
+longer one. Then so are, for the texts still open, those that tell a whole end.
 
 Closing words, for texts without such a copy. The closing word is the last word with the signs attached to it, in its place: in a
 code block, item, heading, row (with all its fields or not), or so many words into a line. Its terminality is how
@@ -24,6 +25,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter, defaultdict
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -325,9 +327,36 @@ def profile(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {_PROFILE}")
 
 
-def _goes_on(a: str, rest: str, long: str) -> bool:
-    """Whether the sentence at the end of ``a``, which ends with a stop, goes on in ``rest``, in the same line."""
-    if a[-1] in "。！？":
+class Ending(NamedTuple):
+    """What ``ends_early`` asks of the shorter text, the same for many texts of a family."""
+
+    shown: str  # the last characters of its body
+    size: int
+    broken: bool  # in an open code block or a character
+    ended: bool  # behind the signs that end a sentence
+    marker: bool  # behind the sign of an item without the item
+    word: str  # the last word without the stop
+    vague: bool  # a line's end behind it says nothing
+    plain: bool  # in a line of running text
+
+
+_ENDING = "shown string, size long, broken boolean, ended boolean, marker boolean, word string, vague boolean, plain boolean"
+
+
+def ending(text: str | None) -> Ending:
+    a, raw = body(text), _stripped(text or "")
+    last = a.rsplit("\n", 1)[-1].strip()
+    broken = sum(line.lstrip().startswith("```") for line in a.split("\n")) % 2 == 1 or raw.endswith("�")
+    word = last.split()[-1].lstrip("\"“«„‘'([")[:-1] if last else ""
+    vague = a != _without_signs(raw) or last[-1:] in ",;:(-–—/&'’"
+    plain = not (_ITEM.match(last) or _HEADING.match(last) or "|" in last)
+    return Ending(a[-160:], len(a), broken, bool(_END.search(a)), bool(_MARKER.fullmatch(last)), word, vague, plain)
+
+
+def _goes_on(end: Ending, rest: str, long: str) -> bool:
+    """Whether the sentence at ``end``, which ends with a stop, goes on in ``rest``, in the same line."""
+    stop, word = end.shown[-1], end.word
+    if stop in "。！？":
         return False
     after = rest.lstrip(" \t  \"“«„‘'([¿¡") if rest[0].isspace() else rest
     if not after:
@@ -337,12 +366,10 @@ def _goes_on(a: str, rest: str, long: str) -> bool:
         return True
     if not rest[0].isspace() and (first.isdigit() or first in "”’»)]"):
         return True
-    if a[-1] != ".":
+    if stop != ".":
         return False
-    line = a.rsplit("\n", 1)[-1].strip()
-    if _MARKER.fullmatch(line):
-        return True  # the sign of an item without the item
-    word = line.split()[-1].lstrip("\"“«„‘'([")[:-1]
+    if end.marker:
+        return True
     if word.lower() in _SHORT or len(word) == 1 and word.isupper():
         return True
     if word.isdigit():
@@ -351,11 +378,10 @@ def _goes_on(a: str, rest: str, long: str) -> bool:
     return bool(word) and re.search(rf"(?<!\w){re.escape(word)}\.[  ]+[a-zà-ÿ]", long) is not None
 
 
-def ends_early(short: str, long: str) -> str:
-    """How ``short`` ends in ``long``: "cut", "whole", or "apart" where they don't align or that says nothing."""
-    a, raw = body(short), _stripped(short)
+def ends_early(end: Ending, long: str) -> str:
+    """How a text with this ``end`` ends in ``long``: "cut", "whole", or "apart" where they don't align or that says nothing."""
     for size in (160, 80, 40, 24):
-        tail = a[-size:]
+        tail = end.shown[-size:]
         at = long.find(tail) if len(tail) >= 24 else -1
         if at >= 0:
             break
@@ -368,24 +394,23 @@ def ends_early(short: str, long: str) -> str:
         while again >= 0:
             places.append(again)
             again = long.find(tail, again + 1)
-        at = min(places, key=lambda p: abs(p + len(tail) - len(a)))
+        at = min(places, key=lambda p: abs(p + len(tail) - end.size))
     rest = long[at + len(tail) :]
     if not rest.strip(_INVISIBLE).strip():
         return "apart"  # two texts may be cut at the same place
-    if sum(line.lstrip().startswith("```") for line in a.split("\n")) % 2 or raw.endswith("�"):
+    if end.broken:
         return "cut"
     line, _, below = rest.partition("\n")
     shown = _without_signs(_without_first_signs(line)).strip(_INVISIBLE).strip()
     if shown:
-        if not _END.search(a):
+        if not end.ended:
             return "cut"
-        return "cut" if _goes_on(a, line if line[:1] == shown[:1] else " " + shown, long) else "whole"
-    if _END.search(a):
+        return "cut" if _goes_on(end, line if line[:1] == shown[:1] else " " + shown, long) else "whole"
+    if end.ended:
         return "whole"
-    last = a.rsplit("\n", 1)[-1].strip()
-    if a != _without_signs(raw) or last[-1] in ",;:(-–—/&'’":
+    if end.vague:
         return "apart"
-    wrapped = below[:1].islower() and not (_ITEM.match(last) or _HEADING.match(last) or "|" in last or _ITEM.match(below))
+    wrapped = below[:1].islower() and end.plain and not _ITEM.match(below)
     return "cut" if wrapped else "whole"
 
 
@@ -423,37 +448,79 @@ def meetings(documents: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFra
     return asked, cut_lineage(longer.select("band", "tail", "longer"), "truncate-longer")
 
 
+def endings(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """(``doc_id``, ``ending``, the fields of ``Ending``) of the texts of ``ids``; ``ending`` is a number for these."""
+    kind = documents.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        import xxhash
+
+        types = [pa.int64() if t == "long" else pa.bool_() if t == "boolean" else pa.string() for t in (c.split()[1] for c in _ENDING.split(", "))]
+        for batch in batches:
+            found = [ending(text) for text in batch.column("text").to_pylist()]
+            numbers = np.array([xxhash.xxh64_intdigest(repr(tuple(e)).encode("utf-8", "surrogatepass")) for e in found], np.uint64).view(np.int64)
+            fields = zip(*found) if found else [()] * len(types)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(numbers), *map(pa.array, fields, types)], ["doc_id", "ending", *Ending._fields])
+
+    return documents.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(run, f"doc_id {kind}, ending long, {_ENDING}")
+
+
+def told(documents: DataFrame, pairs: DataFrame, ends: DataFrame) -> DataFrame:
+    """(``longer``, ``ending``, ``alignment``) of the pairs (``longer``, ``ending``), a table, where the longer text tells something."""
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    texts = documents.select(F.col("doc_id").alias("longer"), F.col("text").alias("other")).join(pairs.select("longer").distinct(), "longer", "left_semi")
+    rows = pairs.join(ends, "ending").join(texts, "longer")
+
+    def run(batches):
+        for batch in batches:
+            fields = zip(*(batch.column(c).to_pylist() for c in Ending._fields))
+            how = [ends_early(Ending(*end), other) for end, other in zip(fields, batch.column("other").to_pylist())]
+            out = pa.RecordBatch.from_arrays([batch.column("longer"), batch.column("ending"), pa.array(how, pa.string())], ["longer", "ending", "alignment"])
+            yield out.filter(pa.array([h != "apart" for h in how], pa.bool_()))
+
+    return rows.select("longer", "ending", "other", *Ending._fields).mapInArrow(run, f"longer {kind}, ending long, alignment string")
+
+
 def aligned(documents: DataFrame, profiles: DataFrame) -> DataFrame:
-    """(``digest``, ``alignment``) of the texts with a verified longer near-copy that tells: "cut" if it goes on.
+    """(``digest``, ``alignment``) of the texts with a verified longer near-copy that tells: "cut" if any goes on.
 
-    Every text can be the shorter one and the longer one. A group may hold any share of the texts: each round takes
-    so many longer ones of it as its limit says, already before they are shuffled.
+    Every text can be the shorter one and the longer one. A group may hold any share of the texts. First its longer
+    ones are asked once for each different ending. Then those that tell a cut are verified, and only for texts without
+    a verified one those that tell a whole end, so the first verified one is final and the rounds don't change what is
+    found: each takes so many longer ones of a group as its limit says, already before they are shuffled.
     """
     own = F.struct("doc_id", "tail", "bands")
     texts = profiles.where((F.size("bands") > 0) & F.col("doc_id").isNotNull()).groupBy("digest").agg(F.min(own).alias("own")).select("own.*")
     asked, longer = meetings(documents, texts)
-    most = longer.groupBy("band", "tail").count().agg(F.max("count")).first()[0] or 0
-    order = Window.partitionBy("band", "tail").orderBy(F.xxhash64("longer"), "longer")
-    placed = longer.withColumn("at", F.row_number().over(order))
-    done, width, parts = 0, ROUND, []
-    while done < most or not parts:
-        now = placed.where(F.col("at") <= done + width).where(F.col("at") > done)
-        found = verified(documents, asked.join(now, ["band", "tail"]).where("doc_id <> longer").select("doc_id", "longer").distinct())
-        if done + width < most:
-            found = cut_lineage(found, "truncate-verified")
-            asked = asked.join(found.select("doc_id"), "doc_id", "left_anti")
-        parts.append(found)
-        done, width = done + width, width * 4
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
-    told = profiles.select("doc_id", "digest").join(found, "doc_id")
-    return told.groupBy("digest").agg(F.min("alignment").alias("alignment"))  # "cut" before "whole"
+    asked = asked.join(longer.select("band", "tail").distinct(), ["band", "tail"], "left_semi")
+    ends = cut_lineage(endings(documents, asked.select("doc_id").distinct()), "truncate-endings")
+    asked = cut_lineage(asked.join(ends.select("doc_id", "ending"), "doc_id"), "truncate-asked")
+    met = cut_lineage(longer.join(asked.select("band", "tail", "ending").distinct(), ["band", "tail"]), "truncate-met")
+    how = told(documents, met.select("longer", "ending").distinct(), ends.drop("doc_id").dropDuplicates(["ending"]))
+    group = ["band", "tail", "ending"]
+    order = Window.partitionBy("alignment", *group).orderBy(F.xxhash64("longer"), "longer")
+    placed = cut_lineage(met.join(how, ["longer", "ending"]).withColumn("at", F.row_number().over(order)), "truncate-placed")
+    most = dict(placed.groupBy("alignment").agg(F.max("at")).collect())
+    found = asked.select("doc_id", F.lit("").alias("alignment")).where("false")
+    for alignment in ("cut", "whole"):
+        done, width = 0, ROUND
+        while done < most.get(alignment, 0):
+            now = placed.where((F.col("alignment") == alignment) & (F.col("at") <= done + width) & (F.col("at") > done))
+            # as a table, so that the few texts of a round are looked up without a shuffle of all
+            pairs = cut_lineage(asked.join(now, group).where("doc_id <> longer").select("doc_id", "longer").distinct(), "truncate-pairs")
+            done, width = done + width, width * 4
+            if pairs.isEmpty():
+                continue
+            ids = cut_lineage(verified(documents, pairs), "truncate-verified")
+            asked = asked.join(ids, "doc_id", "left_anti")
+            found = found.unionByName(ids.withColumn("alignment", F.lit(alignment)))
+    # a text is found in one round at most
+    return profiles.select("doc_id", "digest").join(found, "doc_id").select("digest", "alignment")
 
 
 def verified(documents: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(``doc_id``, ``alignment``) of the pairs (``doc_id``, ``longer``) where the longer text holds the other one's runs."""
-    # the texts of both sides in one shuffle, then the few that are in a pair
+    """The ``doc_id`` of pairs (``doc_id``, ``longer``) where the longer text holds the other one's runs, each once."""
+    # of both sides only the texts that are in a pair
     wanted = pairs.select("doc_id").union(pairs.select("longer")).distinct()
     texts = documents.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
     rows = pairs.join(texts, "doc_id").join(texts.select(F.col("doc_id").alias("longer"), F.col("text").alias("other")), "longer").select("doc_id", "text", "other")
@@ -461,21 +528,15 @@ def verified(documents: DataFrame, pairs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            ids, out = [], []
+            ids = []
             for i, a, b in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "other"))):
-                if a is None or b is None or a == b:
-                    continue
                 # the last word may be broken
                 x, y = np.unique(runs_of(body(a).split()[:-1], SHINGLE)), np.unique(runs_of(b.split(), SHINGLE))
-                if not len(x) or len(np.intersect1d(x, y, assume_unique=True)) < SIMILARITY * len(x):
-                    continue
-                how = ends_early(a, b)
-                if how != "apart":
-                    ids.append(i), out.append(how)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field("doc_id").type), pa.array(out, pa.string())], ["doc_id", "alignment"])
-
-    found = rows.mapInArrow(run, f"doc_id {kind}, alignment string")
-    return found.groupBy("doc_id").agg(F.min("alignment").alias("alignment"))
+                if len(x) and len(np.intersect1d(x, y, assume_unique=True)) >= SIMILARITY * len(x):
+                    ids.append(i)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field("doc_id").type)], ["doc_id"])
+
+    return rows.mapInArrow(run, f"doc_id {kind}").distinct()
 
 
 # both -----------------------------------------------------------------------------------

@@ -334,6 +334,24 @@ def test_near_copies_among_longer_others(spark, monkeypatch, width):
     assert {x.doc_id for x in truncate.truncated(df).collect() if x.evidence == "alignment"} == {0, 2, 3, 100}
 
 
+@pytest.mark.parametrize("width", [1, 8, 1000])
+def test_one_copy_that_goes_on_among_many_that_end(spark, monkeypatch, width):
+    monkeypatch.setattr(truncate, "ROUND", width)
+    r, rows, want = random.Random(41), [], set()
+    for family in range(6):
+        head = " ".join(sentence(r, 100)) + ". The old board decides on this."
+        rows += [(100 * family, head), (100 * family + 1, head + " Then the others go home.")]
+        rows += [(100 * family + 10 + i, head + f" Then number {family} of {i} goes home.") for i in range(40)]
+        if family < 4:
+            rows.append((100 * family + 2, head + " and on that, too."))
+            want.add(100 * family)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    own = truncate.profile(df).where("seen is null and doc_id is not null")
+    told = truncate.aligned(df, own).join(own, "digest").select("doc_id", "alignment")
+    assert {tuple(x) for x in told.collect()} == {(100 * family, "cut" if family < 4 else "whole") for family in range(6)}
+    assert {x.doc_id for x in truncate.truncated(df).collect() if x.evidence == "alignment"} == want
+
+
 def test_a_family_of_near_copies_is_not_paired(spark):
     r = random.Random(3)
     base = sentence(r, 200)
